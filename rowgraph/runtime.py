@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,21 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver found it.
+
+    The package is zipped once a session and handed to Spark, which serves it
+    to every executor, also to one that joins later.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_rowgraph_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="rowgraph-package-")) / "rowgraph_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._rowgraph_shipped = True
