@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowgraph.llm import bpe, line_dedup
+from rowgraph.llm import bpe, line_dedup, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": bpe.query,
     "op5_line_dedup": line_dedup.query,
+    "op10_quality": quality.query,
 }
 
 ORACLES: dict[str, str] = {
