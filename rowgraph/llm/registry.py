@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowgraph.llm import bpe, line_dedup, quality
+from rowgraph.llm import bpe, line_dedup, pii, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": bpe.query,
     "op5_line_dedup": line_dedup.query,
+    "op7_pii_surrogates": pii.query,
+    "op9_secret_scan": secrets.query,
     "op10_quality": quality.query,
 }
 
