@@ -33,6 +33,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowgraph.llm.expressions import let
 from rowgraph.runtime import cut
 
 _MALE = ["Mr", "Sir", "Herr", "Señor", "Monsieur", "Don", "Г-н", "г-н"]
@@ -70,11 +71,6 @@ _SYLLABLES = {
 }
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, also inside a lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _digest(key: str, *parts) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), *[F.lit(p) if isinstance(p, (str, int)) else p for p in parts]), 256)
 

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowgraph.llm import bpe, line_dedup, pii, quality, secrets
+from rowgraph.llm import bpe, jaccard, line_dedup, packing, pii, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": bpe.query,
+    "op2_best_fit_packing": packing.query,
     "op5_line_dedup": line_dedup.query,
     "op7_pii_surrogates": pii.query,
+    "op8_ngram_jaccard": jaccard.query,
     "op9_secret_scan": secrets.query,
     "op10_quality": quality.query,
 }
