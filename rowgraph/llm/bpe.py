@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from rowgraph.runtime import ship_package
 
 #: Entries a worker keeps of words and of pieces already encoded; the oldest half goes when one is full.
-PIECE_CACHE = 300_000
+PIECE_CACHE = 500_000
 #: Token pairs a vocabulary remembers as joinable or not.
 PAIR_CACHE = 1_000_000
 
@@ -84,11 +84,23 @@ class Vocabulary:
 
     def extend(self, data: bytes, last: list[int]) -> None:
         """Add to ``last`` the last tokens of the prefixes of ``data`` that it lacks."""
-        token_of, known, longest = self.inner.get, self.pairs.get, self.longest
+        token_of, known, longest, bytes_of = self.inner.get, self.pairs.get, self.longest, self.bytes_of
         for end in range(len(last) + 1, len(data) + 1):
-            for start in range(end - longest if end > longest else 0, end):
+            # only one token fits, so the order of trials is free: the last token one byte longer is likeliest
+            likely = end - 1 - len(bytes_of[last[-1]]) if last else 0
+            token = token_of(data[likely:end])
+            if token is not None:
+                if not likely:
+                    last.append(token)
+                    continue
+                pair = last[likely - 1] << 32 | token
+                fits = known(pair)
+                if fits or (fits is None and self.follows(last[likely - 1], token)):
+                    last.append(token)
+                    continue
+            for start in range(end - 1, end - longest - 1 if end > longest else -1, -1):
                 token = token_of(data[start:end])
-                if token is None:
+                if token is None or start == likely:
                     continue
                 if not start:
                     break
