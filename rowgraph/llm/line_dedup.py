@@ -19,7 +19,8 @@ of the one that picks shard and slot, tells it from the keys that have a slot.
 Defined results: a null or empty text is one empty line; a row is a document,
 so repeated rows count each for itself; a line's key is the line without
 ``[\\x20\\x09-\\x0D]`` at its ends and with A-Z lower-cased; empty keys are
-never counted.  Other columns pass through.
+never counted.  Other columns pass through, but for those that share the name
+of a result (replaced) and ``_lines``, ``_keys``, ``_hit``, ``_dropped``.
 """
 
 from __future__ import annotations
@@ -210,7 +211,7 @@ def index_lines(counted: DataFrame, index_from: int = 2) -> Shards:
 
 
 def probe(docs: DataFrame, shards: Shards, min_docs: int, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lines`` (array of text) and ``dropped`` (array of flags)."""
+    """``docs`` with ``_lines`` (array of text) and ``_dropped`` (array of flags)."""
     ship_package(docs.sparkSession)
 
     @F.pandas_udf("array<boolean>")
@@ -228,11 +229,8 @@ def probe(docs: DataFrame, shards: Shards, min_docs: int, text_col: str = "text"
         frequent(F.transform("_keys", lambda k: _hash(k, 0)), F.transform("_keys", lambda k: _hash(k, 1))),
     )
     # an empty key has no slot, but says so here for every input
-    return hashed.select(
-        *docs.columns,
-        F.col("_lines").alias("lines"),
-        F.zip_with("_hit", "_keys", lambda hit, k: hit & (k != "")).alias("dropped"),
-    )
+    flags = F.zip_with("_hit", "_keys", lambda hit, k: hit & (k != ""))
+    return hashed.withColumn("_dropped", flags).drop("_keys", "_hit")
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, text_col: str = "text") -> DataFrame:
@@ -243,13 +241,13 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, text_col: str = "te
     """
     shards = index_lines(count_lines(docs, text_col), index_from=min_docs)
     found = probe(docs, shards, min_docs, text_col)
-    kept = F.filter(F.arrays_zip("lines", "dropped"), lambda x: ~x["dropped"])
-    return found.select(
-        *docs.columns,
-        F.array_join(F.transform(kept, lambda x: x["lines"]), "\n").alias("kept_text"),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.size(F.filter("dropped", lambda d: d)).cast("long").alias("n_dropped"),
-    )
+    kept = F.filter(F.arrays_zip("_lines", "_dropped"), lambda x: ~x["_dropped"])
+    made = {
+        "kept_text": F.array_join(F.transform(kept, lambda x: x["_lines"]), "\n"),
+        "n_lines": F.size("_lines").cast("long"),
+        "n_dropped": F.size(F.filter("_dropped", lambda d: d)).cast("long"),
+    }
+    return found.select(*[F.col(c) for c in docs.columns if c not in made], *[v.alias(k) for k, v in made.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
