@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rowgraph.functions.columns import let
 from rowgraph.functions.text import tokenize
 
 Point = str | Callable[..., Column] | None
@@ -65,15 +66,18 @@ def vet(text: Column, surfaces: Column, judge: Point = None) -> Column:
 
 def relations(text: Column, extractor: Point) -> Column:
     """``(subject, predicate, object)`` from a flat array; nulls go first, a rest is dropped."""
-    flat = F.array_compact(_call(extractor, text))
-    n = F.floor(F.size(flat) / 3).cast("int")
-    triples = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct(
-            F.get(flat, 3 * i).alias("subject"), F.get(flat, 3 * i + 1).alias("predicate"), F.get(flat, 3 * i + 2).alias("object")
-        ),
-    )
-    return F.when(n > 0, triples)
+
+    def chunks(flat: Column) -> Column:
+        n = F.floor(F.size(flat) / 3).cast("int")
+        triples = F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.struct(
+                F.get(flat, 3 * i).alias("subject"), F.get(flat, 3 * i + 1).alias("predicate"), F.get(flat, 3 * i + 2).alias("object")
+            ),
+        )
+        return F.when(n > 0, triples)
+
+    return let(F.array_compact(_call(extractor, text)), chunks)
 
 
 def embed(norm: Column, embedder: Point) -> Column:

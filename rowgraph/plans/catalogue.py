@@ -1,10 +1,475 @@
-"""The library's own queries and the SQL that checks them."""
+"""The library's own queries and the SQL that gives the same rows.
+
+Every query runs over its whole tables.  ``documents`` is the watched table
+(key ``doc_id``, policy column ``source``); ``conversations`` is the one with
+a composite key (``conv_id|turn``, policy column ``role``) on which the match
+lanes run; ``labels`` serves as a share table and ``events`` as a change feed.
+No text of these tables is changed by compatibility normalisation, so names
+are normalised in the JVM here.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowgraph.functions import extension, text
+from rowgraph.operators import graph as graphs
+from rowgraph.operators import resolve, visibility
+from rowgraph.operators.graph import Graph
+from rowgraph.plans.engine import Engine
+from rowgraph.runtime import cut, ensure_checkpoint_dir
+from rowgraph.sources.storage import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _register(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- shared parts
+
+
+def _surfaces() -> Column:
+    return extension.extract(F.col("text"))
+
+
+def _documents(spark: SparkSession, d: str, surfaces: Column | None = None) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return graphs.extraction(docs, F.col("doc_id"), F.col("text"), _surfaces() if surfaces is None else surfaces)
+
+
+def _conversations(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.extraction(
+        table(spark, d, "conversations"), F.concat_ws("|", "conv_id", "turn"), F.col("text"), _surfaces()
+    )
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct names of the conversations."""
+    return cut(graphs.tokens(_conversations(spark, d), nfkc=False).select("norm").distinct())
+
+
+def _graph(extracted: DataFrame, **options) -> Graph:
+    return graphs.build(extracted, nfkc=False, phonetic=options.pop("phonetic", False), **options)
+
+
+def _readable(spark: SparkSession, d: str, rule: Column) -> DataFrame:
+    return table(spark, d, "documents").filter(rule).select(F.col("doc_id").cast("string").alias("source_pk"))
+
+
+def _half() -> Column:
+    return F.substring("source", 4, 9).cast("int") < 10
+
+
+_TOKENS = r"""
+cut AS (SELECT {pk} AS pk, {ord} AS ord, {cols} regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+') AS parts FROM {table}),
+raw AS (SELECT pk, ord, unnest(parts) AS surface, unnest(range(len(parts))) AS p FROM cut),
+tok AS (SELECT pk, ord, surface, row_number() OVER (PARTITION BY pk ORDER BY min(p)) - 1 AS pos
+  FROM raw WHERE surface <> '' GROUP BY pk, ord, surface)"""
+_DOC = _TOKENS.format(pk="CAST(doc_id AS VARCHAR)", ord="doc_id", cols="", table="documents")
+_CONV = _TOKENS.format(pk="conv_id || '|' || turn", ord="conv_id || '|' || turn", cols="", table="conversations")
+_GRAPH = """
+entity AS (SELECT row_number() OVER (ORDER BY min(row(ord, pos))) AS entity_id, surface FROM tok GROUP BY surface),
+mention AS (SELECT e.entity_id, t.pk, t.pos, t.surface FROM tok t JOIN entity e USING (surface)),
+near AS (SELECT pk, entity_id AS a, lead(entity_id) OVER (PARTITION BY pk ORDER BY pos) AS b FROM mention),
+support AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst, pk FROM near WHERE b IS NOT NULL AND a <> b),
+edge AS (SELECT row_number() OVER (ORDER BY src, dst) AS edge_id, src, dst FROM (SELECT DISTINCT src, dst FROM support))"""
+_KEYS = r"""
+word AS (SELECT norm, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (
+  SELECT norm, list_filter(regexp_split_to_array(norm, '[^\p{L}]+'), lambda x: x <> '') AS ws FROM names)),
+marked AS (SELECT norm, i, replace(replace(replace(replace(replace(replace(w, 'kh', 'X'), 'gh', 'Q'), 'sh', 'C'), 'ch', 'C'), 'zh', 'J'), 'ph', 'F') AS s
+  FROM word WHERE regexp_matches(w, '[a-z]')),
+rough AS (SELECT norm, i, s, lower(translate(translate(regexp_replace(s[1], '[^A-Zbcdfghjklmnpqrstvwxyz]', ''), 'w', 'v')
+  || regexp_replace(s[2:], '[^A-Zbcdfghjklmnpqrstvxz]', '', 'g'), 'c', 'k')) AS x FROM marked),
+squeezed AS (SELECT norm, i, s, list_aggregate(list_filter(string_split(x, ''), lambda c, k: k = 1 OR c <> x[k - 1]), 'string_agg', '') AS k FROM rough WHERE x <> ''),
+forked AS (SELECT norm, i, list_filter(CASE WHEN regexp_matches(regexp_replace(s, '[A-Z]', '', 'g'), '[aeiou]h$') AND k LIKE '%h'
+  THEN [k, k[:-2]] ELSE [k] END, lambda y: y <> '') AS ks FROM squeezed),
+listed AS (SELECT norm, list(ks ORDER BY i) AS kl FROM forked WHERE len(ks) > 0 GROUP BY norm),
+keyed AS (SELECT DISTINCT norm, unnest(list_reduce(kl, lambda x, y: flatten(list_transform(x, lambda p: list_transform(y, lambda q: p || ' ' || q))))) AS key FROM listed)"""
+_NAMES = "WITH RECURSIVE " + _CONV + ", names AS (SELECT DISTINCT surface AS norm FROM tok)"
+_GATE = """
+gated AS (SELECT norm FROM names WHERE list_entropy(string_split(norm, '')) >= 2.0 - 1e-9)"""
+_STARS = """
+gk AS (SELECT norm, key FROM keyed JOIN gated USING (norm)),
+star AS (SELECT DISTINCT h.hub AS a, k.norm AS b FROM gk k JOIN (SELECT key, min(norm) AS hub FROM gk GROUP BY key) h USING (key) WHERE k.norm <> h.hub)"""
+_FUZZY = """
+grams AS (SELECT norm, len(g) AS n, unnest(g) AS gram FROM (SELECT norm, CASE WHEN length(norm) <= 3 THEN [norm]
+  ELSE list_distinct(list_transform(range(1, length(norm) - 1), lambda i: norm[i:i + 2])) END AS g FROM gated)),
+counts AS (SELECT a.norm AS a, b.norm AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+  FROM grams a JOIN grams b ON a.gram = b.gram AND a.norm < b.norm AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 82 GROUP BY 1, 2),
+fuzzy AS (SELECT a, b, shared, na + nb - shared AS either FROM counts WHERE shared * 100 >= (na + nb - shared) * 82)"""
+_REACH = """
+ends AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT norm, norm AS r FROM names UNION SELECT reach.norm, ends.b FROM reach JOIN ends ON ends.a = reach.r),
+canon AS (SELECT norm, min(r) AS canon FROM reach GROUP BY norm)"""
+
+
+# --- text scalars
+
+
+@_register(
+    f"WITH {_DOC} SELECT d.lang, count(t.surface) AS n_tokens, count(DISTINCT t.surface) AS n_distinct "
+    "FROM documents d LEFT JOIN tok t ON t.ord = d.doc_id GROUP BY d.lang"
+)
+def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
+    each = table(spark, d, "documents").select("lang", F.explode_outer(_surfaces()).alias("t"))
+    return each.groupBy("lang").agg(F.count("t").alias("n_tokens"), F.countDistinct("t").alias("n_distinct"))
+
+
+@_register(
+    f"WITH {_DOC} SELECT d.doc_id, count(t.surface) AS n, md5(coalesce(string_agg(t.surface, ' ' ORDER BY t.pos), '')) AS digest "
+    "FROM documents d LEFT JOIN tok t ON t.ord = d.doc_id GROUP BY d.doc_id"
+)
+def tokens_in_order(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "documents").select("doc_id", _surfaces().alias("t"))
+    return found.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+@_register(f"WITH {_CONV} SELECT surface AS norm, count(*) AS n FROM tok GROUP BY surface")
+def normalize_fold(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.tokens(_conversations(spark, d), nfkc=False).groupBy("norm").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register(
+    f"{_NAMES} SELECT norm, round(list_entropy(string_split(norm, '')), 6) AS bits, "
+    "list_entropy(string_split(norm, '')) >= 2.0 - 1e-9 AS passes FROM names"
+)
+def entropy_gate(spark: SparkSession, d: str) -> DataFrame:
+    return _names(spark, d).select("norm", F.round(text.entropy(F.col("norm")), 6).alias("bits"), text.passes_gate(F.col("norm")).alias("passes"))
+
+
+@_register(
+    """WITH n AS (SELECT DISTINCT p_name AS name FROM part), s AS (SELECT name, CASE WHEN length(name) <= 3 THEN [name]
+  ELSE list_distinct(list_transform(range(1, length(name) - 1), lambda i: name[i:i + 2])) END AS g FROM n),
+g AS (SELECT name, len(g) AS size, unnest(g) AS gram FROM s)
+SELECT a.name AS a, b.name AS b, round(count(*) / (any_value(a.size) + any_value(b.size) - count(*)), 6) AS jaccard
+FROM g a JOIN g b ON a.gram = b.gram AND a.name < b.name GROUP BY 1, 2"""
+)
+def shingle_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of part names that share a shingle."""
+    sets = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("g", text.shingles(F.col("name")))
+    grams = sets.select("name", "g", F.explode("g").alias("gram"))
+    a, b = (grams.select("gram", F.col("name").alias(x), F.col("g").alias(f"g{x}")) for x in "ab")
+    pairs = a.join(b, "gram").filter("a < b").dropDuplicates(["a", "b"])
+    return pairs.select("a", "b", F.round(text.jaccard(F.col("ga"), F.col("gb")), 6).alias("jaccard"))
+
+
+@_register(f"{_NAMES}, {_KEYS} SELECT norm, key FROM keyed")
+def phonetic_latin_keys(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.phonetic_keyed(_names(spark, d)).distinct()
+
+
+# --- match lanes
+
+
+@_register(f"{_NAMES}, {_KEYS}, {_GATE} SELECT DISTINCT a.norm AS a, b.norm AS b FROM (SELECT norm, key FROM keyed JOIN gated USING (norm)) a "
+           "JOIN (SELECT norm, key FROM keyed JOIN gated USING (norm)) b ON a.key = b.key AND a.norm < b.norm")
+def phonetic_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.phonetic_pairs(_names(spark, d))
+
+
+@_register(f"{_NAMES}, {_KEYS}, {_GATE}, {_STARS}, link AS (SELECT a, b FROM star), {_REACH} SELECT canon, count(*) AS n_names FROM canon GROUP BY canon")
+def phonetic_components(spark: SparkSession, d: str) -> DataFrame:
+    names = _names(spark, d)
+    canon = resolve.canonical_map(names, resolve.phonetic_edges(names))
+    return canon.groupBy("canon").agg(F.count(F.lit(1)).alias("n_names"))
+
+
+@_register(f"{_NAMES}, {_GATE}, {_FUZZY} SELECT a, b, CAST(shared AS INTEGER) AS shared, CAST(either AS INTEGER) AS either FROM fuzzy")
+def fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.fuzzy_pairs(_names(spark, d))
+
+
+@_register(
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine
+FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.5"""
+)
+def embedding_pairs(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    return resolve.embedding_pairs(vectors, 0.5, "vec_id", "embedding").select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@_register(
+    f"{_NAMES}, {_KEYS}, {_GATE}, {_STARS}, {_FUZZY}, link AS (SELECT a, b FROM star UNION SELECT a, b FROM fuzzy), {_REACH} "
+    "SELECT norm, canon FROM canon"
+)
+def canonical_names(spark: SparkSession, d: str) -> DataFrame:
+    """The full resolution of the conversations' names."""
+    names = _names(spark, d)
+    pairs = resolve.phonetic_edges(names).unionAll(resolve.fuzzy_pairs(names).select("a", "b"))
+    return resolve.canonical_map(names, pairs)
+
+
+# --- the graph
+
+
+@_register(f"WITH {_DOC}, {_GRAPH} SELECT entity_id, surface, surface AS norm FROM entity")
+def entities_all(spark: SparkSession, d: str) -> DataFrame:
+    return _graph(_documents(spark, d)).entity
+
+
+@_register(f"WITH {_DOC}, {_GRAPH} SELECT entity_id, pk AS source_pk, CAST(pos AS INTEGER) AS pos, surface AS surface_form FROM mention")
+def mentions_all(spark: SparkSession, d: str) -> DataFrame:
+    return _graph(_documents(spark, d)).mention.select("entity_id", "source_pk", "pos", "surface_form")
+
+
+@_register(f"WITH {_DOC}, {_GRAPH} SELECT edge_id, src, dst, 'co_mentioned' AS predicate FROM edge")
+def edges_comention(spark: SparkSession, d: str) -> DataFrame:
+    return _graph(_documents(spark, d)).edge
+
+
+@_register(f"WITH {_DOC}, {_GRAPH} SELECT edge_id, pk AS source_pk FROM support JOIN edge USING (src, dst)")
+def edge_support(spark: SparkSession, d: str) -> DataFrame:
+    return _graph(_documents(spark, d)).edge_support
+
+
+@_register(f"{_NAMES}, {_GRAPH}, {_KEYS} SELECT entity_id, key FROM entity JOIN keyed ON norm = surface")
+def entity_phonetic(spark: SparkSession, d: str) -> DataFrame:
+    return _graph(_conversations(spark, d), phonetic=True).entity_phonetic
+
+
+@_register(
+    f"""WITH cap AS (SELECT doc_id, regexp_split_to_array(text, '[^\\p{{L}}]+') AS parts FROM documents),
+raw AS (SELECT doc_id, unnest(parts) AS surface, unnest(range(len(parts))) AS p FROM cap),
+tok AS (SELECT doc_id, surface, p FROM raw WHERE regexp_matches(surface, '^\\p{{Lu}}'))
+SELECT doc_id, count(*) AS n_mentions, count(DISTINCT lower(surface)) AS n_names, md5(string_agg(surface, ' ' ORDER BY p)) AS digest FROM tok GROUP BY doc_id"""
+)
+def custom_extractor_caps(spark: SparkSession, d: str) -> DataFrame:
+    """Capitalised words as surfaces; repeated ones stay separate mentions."""
+    each = _documents(spark, d, extension.extract(F.col("text"), _capitalised))
+    mention = graphs.tokens(each, nfkc=False)
+    return mention.groupBy(F.col("row_ord.number").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("n_mentions"), F.countDistinct("norm").alias("n_names"),
+        F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "surface"))), lambda x: x["surface"]), " ")).alias("digest"),
+    )
+
+
+def _capitalised(body: Column) -> Column:
+    return F.filter(F.split(body, r"[^\p{L}]+"), lambda w: w.rlike(r"^\p{Lu}"))
+
+
+@_register(f"WITH {_DOC} SELECT ord AS doc_id, count(*) AS n FROM tok WHERE length(surface) >= 4 OR ord IN "
+           "(SELECT ord FROM tok GROUP BY ord HAVING max(length(surface)) < 4) GROUP BY ord")
+def judge_trim(spark: SparkSession, d: str) -> DataFrame:
+    """A judge that drops short names, and keeps a row whole of which it would drop all."""
+
+    def judge(_: Column, found: Column) -> Column:
+        kept = F.filter(found, lambda s: F.length(s) >= 4)
+        return F.when(F.size(kept) > 0, kept)
+
+    surfaces = extension.vet(F.col("text"), _surfaces(), judge)
+    each = graphs.tokens(_documents(spark, d, surfaces), nfkc=False)
+    return each.groupBy(F.col("row_ord.number").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register(
+    f"""WITH {_DOC}, {_GRAPH},
+found AS (SELECT CAST(doc_id AS VARCHAR) AS pk, unnest(regexp_extract_all(lower(text), '([\\p{{L}}]+ (?:and|of|the|de|le|der|die) [\\p{{L}}]+)', 1)) AS m FROM documents),
+parts AS (SELECT pk, string_split(m, ' ') AS w FROM found),
+ends AS (SELECT DISTINCT p.pk, p.w[2] AS predicate, a.entity_id AS src, b.entity_id AS dst FROM parts p
+  JOIN mention a ON a.pk = p.pk AND a.surface = p.w[1] JOIN mention b ON b.pk = p.pk AND b.surface = p.w[3] WHERE a.entity_id <> b.entity_id)
+SELECT s.surface AS src, predicate, o.surface AS dst, count(*) AS n_support FROM ends JOIN entity s ON s.entity_id = src JOIN entity o ON o.entity_id = dst GROUP BY 1, 2, 3"""
+)
+def typed_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Directed edges from ``name word name`` phrases."""
+
+    def phrases(body: Column) -> Column:
+        found = F.regexp_extract_all(F.lower(body), F.lit(r"([\p{L}]+ (?:and|of|the|de|le|der|die) [\p{L}]+)"), F.lit(1))
+        return F.flatten(F.transform(found, lambda m: F.split(m, " ")))
+
+    g = _graph(_documents(spark, d), triples=extension.relations(F.col("body"), phrases))
+    many = g.edge_support.groupBy("edge_id").agg(F.count(F.lit(1)).alias("n_support"))
+    return visibility.named_edges(g, g.edge).join(many, "edge_id").select("src", "predicate", "dst", "n_support")
+
+
+# --- visibility
+
+_SEEN = "seen AS (SELECT CAST(doc_id AS VARCHAR) AS pk FROM documents WHERE {rule})"
+_SRC0, _HALF_SQL = _SEEN.format(rule="source = 'src0'"), _SEEN.format(rule="CAST(source[4:] AS INTEGER) < 10")
+_NAMED = "SELECT e.edge_id, s.surface AS src, o.surface AS dst, 'co_mentioned' AS predicate FROM edge e JOIN entity s ON s.entity_id = e.src JOIN entity o ON o.entity_id = e.dst"
+
+
+@_register(f"WITH {_DOC}, {_GRAPH}, {_SRC0} SELECT entity_id, surface FROM entity WHERE entity_id IN (SELECT entity_id FROM mention JOIN seen USING (pk))")
+def entities_visible(spark: SparkSession, d: str) -> DataFrame:
+    pks = _readable(spark, d, F.col("source") == "src0")
+    return visibility.visible_entities(_graph(_documents(spark, d)), pks).select("entity_id", "surface")
+
+
+@_register(f"WITH {_DOC}, {_GRAPH}, {_SRC0} SELECT entity_id, surface, pk AS source_pk, surface AS surface_form FROM mention JOIN seen USING (pk)")
+def mentions_visible(spark: SparkSession, d: str) -> DataFrame:
+    g = _graph(_documents(spark, d))
+    seen = visibility.visible_mentions(g, _readable(spark, d, F.col("source") == "src0"))
+    return seen.join(g.entity.select("entity_id", "surface"), "entity_id").select("entity_id", "surface", "source_pk", "surface_form")
+
+
+@_register(f"WITH {_DOC}, {_GRAPH}, {_SRC0} {_NAMED} WHERE EXISTS (SELECT 1 FROM support u JOIN seen USING (pk) WHERE u.src = e.src AND u.dst = e.dst)")
+def edges_union(spark: SparkSession, d: str) -> DataFrame:
+    g = _graph(_documents(spark, d))
+    return visibility.named_edges(g, visibility.visible_edges(g, _readable(spark, d, F.col("source") == "src0"), "union"))
+
+
+@_register(f"WITH {_DOC}, {_GRAPH}, {_HALF_SQL} {_NAMED} WHERE NOT EXISTS (SELECT 1 FROM support u WHERE u.src = e.src AND u.dst = e.dst AND u.pk NOT IN (SELECT pk FROM seen))")
+def edges_intersection(spark: SparkSession, d: str) -> DataFrame:
+    g = _graph(_documents(spark, d))
+    return visibility.named_edges(g, visibility.visible_edges(g, _readable(spark, d, _half()), "intersection"))
+
+
+@_register(
+    f"WITH {_DOC}, {_GRAPH}, seen AS (SELECT CAST(doc_id AS VARCHAR) AS pk FROM documents WHERE source = 'src0' OR doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) "
+    f"{_NAMED} WHERE EXISTS (SELECT 1 FROM support u JOIN seen USING (pk) WHERE u.src = e.src AND u.dst = e.dst)"
+)
+def edges_visible_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Own rows or rows shared with the caller; the share table is read at query time."""
+    shares = table(spark, d, "labels").filter("toxic = 1").select("doc_id").distinct()
+    docs = table(spark, d, "documents")
+    seen = docs.filter("source = 'src0'").select("doc_id").unionAll(docs.join(shares, "doc_id", "left_semi").select("doc_id")).distinct()
+    g = _graph(_documents(spark, d))
+    return visibility.named_edges(g, visibility.visible_edges(g, seen.select(F.col("doc_id").cast("string").alias("source_pk")), "union"))
+
+
+@_register(
+    f"{_NAMES}, {_GRAPH}, {_KEYS}, seen AS (SELECT conv_id || '|' || turn AS pk FROM conversations WHERE role = 'system'), "
+    "vis AS (SELECT DISTINCT entity_id FROM mention JOIN seen USING (pk)), "
+    "k AS (SELECT e.entity_id, e.surface, key FROM entity e JOIN vis USING (entity_id) JOIN keyed ON norm = e.surface) "
+    "SELECT DISTINCT a.entity_id AS entity_a, a.surface AS surface_a, b.entity_id AS entity_b, b.surface AS surface_b FROM k a JOIN k b ON a.key = b.key AND a.entity_id < b.entity_id"
+)
+def proposals(spark: SparkSession, d: str) -> DataFrame:
+    g = _graph(_conversations(spark, d), phonetic=True)
+    seen = table(spark, d, "conversations").filter("role = 'system'").select(F.concat_ws("|", "conv_id", "turn").alias("source_pk"))
+    return visibility.visible_proposals(g, seen)
+
+
+@_register(
+    f"WITH {_DOC}, {_GRAPH}, {_SRC0}, named AS ({_NAMED} WHERE EXISTS (SELECT 1 FROM support u JOIN seen USING (pk) WHERE u.src = e.src AND u.dst = e.dst)) "
+    "SELECT person, count(*) AS times_together FROM (SELECT src AS person FROM named UNION ALL SELECT dst FROM named) GROUP BY person"
+)
+def most_connected(spark: SparkSession, d: str) -> DataFrame:
+    return visibility.most_connected(edges_union(spark, d))
+
+
+# --- decisions
+
+_MERGED = [("the", "of"), ("der", "die"), ("le", "la")]
+
+
+def _decided(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame([tuple(sorted(p)) for p in pairs], "norm_a string, norm_b string")
+
+
+def _values(pairs: list[tuple[str, str]]) -> str:
+    return ", ".join("('{}', '{}')".format(*sorted(p)) for p in pairs)
+
+
+@_register(
+    f"{_NAMES}, link AS (SELECT a, b FROM (VALUES {_values(_MERGED)}) v(a, b) WHERE a IN (SELECT norm FROM names) AND b IN (SELECT norm FROM names)), {_REACH}, "
+    "firsts AS (SELECT c.canon, min(row(t.ord, t.pos)) AS f, arg_min(t.surface, row(t.ord, t.pos)) AS surface, count(*) AS n FROM tok t JOIN canon c ON c.norm = t.surface GROUP BY c.canon) "
+    "SELECT row_number() OVER (ORDER BY f) AS entity_id, surface, canon AS norm, n AS n_mentions FROM firsts"
+)
+def decisions_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of the conversations after manual merges."""
+    names = _names(spark, d)
+    canon = resolve.canonical_map(names, _decided(spark, _MERGED).toDF("a", "b"))
+    g = _graph(_conversations(spark, d), canon=canon)
+    many = g.mention.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_mentions"))
+    return g.entity.join(many, "entity_id")
+
+
+@_register(
+    f"{_NAMES}, {_KEYS}, {_GATE}, {_STARS}, {_FUZZY}, veto AS (SELECT * FROM fuzzy WHERE NOT EXISTS (SELECT 1 FROM keyed x JOIN keyed y USING (key) WHERE x.norm = a AND y.norm = b)), "
+    f"link AS (SELECT a, b FROM star UNION (SELECT a, b FROM fuzzy EXCEPT SELECT a, b FROM veto)), {_REACH} SELECT norm, canon FROM canon"
+)
+def decisions_split(spark: SparkSession, d: str) -> DataFrame:
+    """Every merge that only the fuzzy lane makes, vetoed."""
+    names = _names(spark, d)
+    fuzzy, sound = resolve.fuzzy_pairs(names).select("a", "b"), resolve.phonetic_pairs(names, gated=False)
+    veto = cut(fuzzy.join(sound, ["a", "b"], "left_anti").select(F.col("a").alias("norm_a"), F.col("b").alias("norm_b")))
+    return resolve.canonical_map(names, resolve.phonetic_edges(names, veto).unionAll(fuzzy), veto)
+
+
+@_register(
+    f"WITH {_DOC}, set_apart AS (SELECT pk, min(surface) AS surface FROM tok GROUP BY pk), "
+    "k AS (SELECT t.*, CASE WHEN s.pk IS NULL THEN t.surface ELSE t.surface || chr(31) || t.pk END AS norm FROM tok t LEFT JOIN set_apart s USING (pk, surface)) "
+    "SELECT row_number() OVER (ORDER BY min(row(ord, pos))) AS entity_id, arg_min(surface, row(ord, pos)) AS surface, norm FROM k GROUP BY norm"
+)
+def override_split_mention(spark: SparkSession, d: str) -> DataFrame:
+    """The least name of every document set apart from its other mentions."""
+    each = _documents(spark, d)
+    overrides = each.filter(F.size("surfaces") > 0).select(
+        "source_pk", F.array_min("surfaces").alias("surface_norm"), F.col("source_pk").alias("tag")
+    )
+    return _graph(each, overrides=overrides).entity
+
+
+# --- maintenance
+
+_FEED = "feed AS (SELECT user_id AS doc_id, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id)"
+
+
+@_register(
+    f"WITH {_DOC}, {_FEED}, alive AS (SELECT t.* FROM tok t LEFT JOIN feed f ON f.doc_id = t.ord WHERE f.last IS NULL OR f.last <> 'error') "
+    "SELECT surface, count(*) AS n_mentions FROM alive GROUP BY surface"
+)
+def apply_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions by name after the change feed: the last event of a row decides."""
+    feed = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("source_pk")).agg(F.max_by("event_type", "event_id").alias("op"))
+    each = _documents(spark, d)
+    kept = each.join(feed, "source_pk", "left_anti")
+    again = each.join(feed.filter("op <> 'error'"), "source_pk", "left_semi")
+    mention = graphs.tokens(kept.unionByName(again), nfkc=False)
+    return mention.groupBy("surface").agg(F.count(F.lit(1)).alias("n_mentions"))
+
+
+@_register(
+    f"WITH {_FEED} SELECT count(*) AS n_before, count(*) FILTER (WHERE f.last = 'error') AS n_removed FROM documents d LEFT JOIN feed f USING (doc_id)"
+)
+def gc_extraction(spark: SparkSession, d: str) -> DataFrame:
+    """Stored extractions of rows that the feed has deleted."""
+    gone = table(spark, d, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.max_by("event_type", "event_id").alias("op")).filter("op = 'error'")
+    docs = table(spark, d, "documents")
+    alive = docs.join(gone, "doc_id", "left_anti").select(F.col("doc_id").cast("string").alias("source_pk"))
+    stored = _documents(spark, d).select("source_pk")
+    removed = stored.join(alive, "source_pk", "left_anti").agg(F.count(F.lit(1)).alias("n_removed"))
+    return stored.agg(F.count(F.lit(1)).alias("n_before")).join(removed)
+
+
+@_register()
+def cross_script_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Names in three scripts through all lanes (a fixture; tables have Latin text only)."""
+    rows = [(i, s) for i, s in enumerate(["Khashayar", "خشایار", "Хабаров", "Khabarov", "Ali", "علی", "علي", "Faeze", "فائزه"])]
+    source = spark.createDataFrame(rows, "id int, mention string")
+    engine = Engine(spark)
+    engine.watch("contacts", lambda: source, "mention", "id")
+    engine.maintain()
+    return engine.session().entities("contacts")
+
+
+@_register()
+def incremental_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The change feed as a stream into the documents' graph; gives its entities."""
+    from rowgraph.streaming.maintain import start_maintenance
+
+    engine = Engine(spark, resolution="exact", nfkc=False)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    watch = engine.watch("documents", lambda: docs, "text", "doc_id")
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    feed = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("source_pk"),
+                                            F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"))
+    feed.write.parquet(f"{folder}/feed")
+    engine.reindex(watch)
+    stream = spark.readStream.schema(feed.schema).parquet(f"{folder}/feed")
+    start_maintenance(engine, watch, stream, f"{folder}/at", every=None).awaitTermination()
+    return engine.session().entities("documents")
