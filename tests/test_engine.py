@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from rowgraph.plans.engine import Engine
 
-NOTES = [(1, "role_a", "Sara Tehran"), (2, "role_b", "Sara Berlin"), (3, "role_a", "Reza Berlin"), (4, "role_a", "Sara Berlin")]
+PAIRS = ["a Sara Tehran", "b Sara Berlin", "a Reza Berlin", "a Sara Berlin"]
+NOTES = [(i, "role_" + pair[0], pair[2:]) for i, pair in enumerate(PAIRS, 1)]
 
 
 class Source:
