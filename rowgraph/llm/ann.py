@@ -153,11 +153,11 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     pivots: int = 64,
-    post: int = 12,
-    probe: int = 12,
+    post: int = 14,
+    probe: int = 14,
     depth: int = 32,
     calibrate: int = 4000,
-    keep: float = 0.97,
+    keep: float = 0.985,
 ) -> DataFrame:
     """Rows ``(query_id, rank, vec_id, score)`` for the rows that ``is_query`` picks."""
     ship_package(table.sparkSession)
