@@ -33,6 +33,8 @@ from rowgraph.runtime import cut, ship_package
 
 GRAM = 8
 HOT = 20_000
+#: Hot 8-grams that may be broadcast (12 bytes each).
+HOT_BROADCAST = 10_000
 CHUNK = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -115,7 +117,7 @@ def kept_suffixes(words: np.ndarray, starts: np.ndarray, min_words: int):
 _KEPT = "gram long, id long, begin int, lead int, stretches array<int>"
 
 
-def _keep(docs: DataFrame, min_words: int) -> DataFrame:
+def _keep(docs: DataFrame, min_words: int, grams_only: bool = False) -> DataFrame:
     def run(batches):
         for batch in batches:
             words = batch.column(1)
@@ -126,13 +128,15 @@ def _keep(docs: DataFrame, min_words: int) -> DataFrame:
                 high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + CHUNK, "right")) - 1)
                 starts = offsets[low : high + 1].astype(np.int64)
                 gram, text, begin, lead, edges, hashes = kept_suffixes(flat[starts[0] : starts[-1]], starts - starts[0], min_words)
-                if len(gram):
+                if len(gram) and grams_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], ["gram"])
+                elif len(gram):
                     lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(hashes))
                     columns = [pa.array(gram.view(np.int64)), ids.slice(low).take(pa.array(text)), pa.array(begin.astype(np.int32)), pa.array(lead.astype(np.int32)), lists]
                     yield pa.RecordBatch.from_arrays(columns, ["gram", "id", "begin", "lead", "stretches"])
                 low = high
 
-    return docs.mapInArrow(run, _KEPT)
+    return docs.mapInArrow(run, "gram long" if grams_only else _KEPT)
 
 
 def _repeated(batches, min_words: int):
@@ -144,8 +148,11 @@ def _repeated(batches, min_words: int):
     lists = table.column("stretches").chunk(0)
     offsets = np.asarray(lists.offsets).astype(np.int64)
     hashes = np.asarray(lists.flatten()).view(np.uint32).astype(np.uint64)
-    places = np.asarray(table.column("places").chunk(0).flatten()).astype(np.int64)
     row = np.repeat(np.arange(table.num_rows), np.diff(offsets))
+    # stretches of a row follow each other unless their places are named
+    places = np.arange(len(row)) - (offsets[:-1] - offsets[0])[row]
+    named = table.column("places").chunk(0)
+    places[np.asarray(named.is_valid())[row]] = np.asarray(named.flatten())
     gram = table.column("gram").to_numpy().view(np.uint64)[row]
     ids, begin = table.column("id").to_numpy()[row], table.column("begin").to_numpy()[row] + places
     rel = (table.column("lead").to_numpy()[row] - places).astype(np.uint64)
@@ -194,27 +201,28 @@ def repeated_passages(
         raise ValueError(f"min_words is {GRAM} at least")
     ship_package(docs.sparkSession)
     hashed = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), word_hashes(F.col(text_col)).alias("w"))
-    kept = cut(_keep(hashed, min_words))
-    hot = (
-        kept.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
+    hot = cut(
+        _keep(hashed, min_words, grams_only=True).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
         .select("gram", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
     )
-    rows = kept.join(hot, "gram", "left").withColumn("place", F.sequence(F.lit(0), F.size("stretches") - 1))
-    # the stretches of a hot 8-gram go to parts by their own hash
-    cold = rows.filter(F.col("parts").isNull()).select(
-        "gram", F.lit(0).alias("part"), "id", "begin", "lead", "stretches", F.col("place").alias("places")
-    )
-    heads = rows.filter(F.col("parts").isNotNull()).select(
-        "gram", "id", "begin", "lead", "parts", F.explode(F.arrays_zip("stretches", "place")).alias("x")
-    )
-    spread = heads.select(
-        "gram", F.expr("pmod(hash(x.stretches), parts)").cast("int").alias("part"), "id", "begin", "lead",
-        F.array("x.stretches").alias("stretches"), F.array("x.place").alias("places"),
-    )
-    found = (
-        cold.unionAll(spread)
-        .repartition("gram", "part")
-        .mapInArrow(lambda b: _repeated(list(b), min_words), "id long, start int, stop int, later boolean")
+    kept, many = _keep(hashed, min_words), hot.count()
+    whole = F.struct(F.lit(0).alias("part"), F.col("stretches"), F.lit(None).cast("array<int>").alias("places"))
+    if many:
+        # a few rows of two numbers, or else a join
+        rows = kept.join(F.broadcast(hot) if many <= HOT_BROADCAST else hot, "gram", "left")
+        at = F.sequence(F.lit(0), F.size("stretches") - 1)
+
+        def piece(p: Column) -> Column:
+            mine = F.filter(at, lambda k: F.pmod(F.hash(F.get("stretches", k)), F.col("parts")) == p)
+            return F.struct(p.alias("part"), F.transform(mine, lambda k: F.get("stretches", k)).alias("stretches"), mine.alias("places"))
+
+        pieces = F.filter(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), piece), lambda x: F.size(x["places"]) > 0)
+        rows = rows.select("gram", "id", "begin", "lead", F.explode(F.when(F.col("parts").isNull(), F.array(whole)).otherwise(pieces)).alias("x"))
+        rows = rows.select("gram", "x.part", "id", "begin", "lead", "x.stretches", "x.places")
+    else:
+        rows = kept.select("gram", "id", "begin", "lead", whole.alias("x")).select("gram", "x.part", "id", "begin", "lead", "x.stretches", "x.places")
+    found = rows.repartition("gram", "part").mapInArrow(
+        lambda b: _repeated(list(b), min_words), "id long, start int, stop int, later boolean"
     )
     span = F.struct("start", "stop")
     grouped = found.groupBy("id").agg(
