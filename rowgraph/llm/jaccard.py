@@ -4,20 +4,22 @@ Texts become sets of word n-grams (64-bit hashes).  Equal texts collapse into
 one class first.  Each class gets 128 MinHash values from one sorted array of its
 hashes: value j is the first hash at or after the start of the j-th of 128
 equal ranges, cyclically, so one hash function and one sort give them all and
-none is ever missing.  Bands of three values propose pairs.  A pair's values,
-four bits of each, are then compared sixteen at a time: after each step the
-pair is dropped if the posterior probability that its similarity reaches the
-threshold, given the matches so far and a uniform prior, is below the
-tolerance.  Sets below ``SMALL`` n-grams repeat values, which the posterior
-does not model, so their pairs skip this step.  A pair whose sizes alone rule
-the threshold out is dropped as well.  What is left is verified on the whole
-sets.
+none is ever missing.  Bands of three distant values put the classes in
+buckets; texts below ``FEW`` n-grams, whose values repeat, get three times as
+many.  A pair of a bucket is taken up in the first band that it shares, and
+its values, four bits of each, are compared in steps: after each step the
+pair is dropped if the posterior probability that its similarity reaches
+the threshold, given the matches so far and a uniform prior, is below the
+tolerance.  The values of a set of k n-grams weigh as about k / 2 independent
+ones, so the pairs of smaller sets are judged by fewer.  A pair whose sizes
+alone rule the threshold out is dropped as well.  All this happens while a
+bucket is joined with itself, so only pairs that pass are ever shuffled; they
+are then verified on the whole sets.
 
 For verification classes are put in blocks of ``BLOCK`` along their least
 neighbour, and a task holds two blocks: a set travels once a pair of blocks,
-not once a pair of texts.  A band value shared by many classes is split into
-blocks likewise, so no task ever holds a whole hot group, and no partner is
-left out.
+not once a pair of texts.  A bucket of many classes is split into blocks
+likewise, so no task ever holds a whole hot group, and no partner is left out.
 
 Result: one row per document with ``class_id`` (least id reachable by links),
 ``n_links`` (other documents linked directly, copies included) and
@@ -45,8 +47,8 @@ VALUES = 128
 ROWS = 3
 BANDS = VALUES // ROWS
 STEP = 16
-SMALL = 384
-BLOCK = 48
+FEW = 128
+BLOCK = 256
 BUCKET_BLOCK = 512
 
 
@@ -67,7 +69,7 @@ def word_ngrams(text: Column, n: int = 3) -> Column:
 
 
 def least_matches(threshold: float, tolerance: float, bits: int = 4) -> dict[int, int]:
-    """For 16, 32, ... compared values, the fewest matches with which a pair stays.
+    """For 16, 32, ... independent values, the fewest matches with which a pair stays.
 
     With ``b`` bits of a value, texts of similarity ``s`` match with
     probability ``s + (1 - s) / 2**b``.  The posterior is integrated over a
@@ -120,11 +122,19 @@ def _packed(values: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(VALUES // STEP - 1)), word)
 
 
-def _banded(values: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda b: F.xxhash64(b, *[F.get(values, b * ROWS + r) for r in range(ROWS)]),
-    )
+def _banded(values: Column, size: Column) -> Column:
+    """Bucket keys, one a band; the low bits tell the band, so bands never mix."""
+
+    def bands(count: int) -> Column:
+        # the places of a band lie a third of the circle apart, shifted from one pass to the next
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(count - 1)),
+            lambda b: F.xxhash64(
+                b, *[F.get(values, (b % BANDS + r * (BANDS + 11 * F.floor(b / BANDS)).cast("int")) % VALUES) for r in range(ROWS)]
+            ).bitwiseAND(F.lit(-128)).bitwiseOR(b.cast("long")),
+        )
+
+    return F.when(size < FEW, bands(3 * BANDS)).otherwise(bands(BANDS))
 
 
 def _matching(a: Column, b: Column) -> Column:
@@ -144,38 +154,64 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
         *_text_key(F.col(text_col)), F.col(id_col).alias("id"), F.array_distinct(word_ngrams(F.col(text_col), n)).alias("grams")
     )
     hashed = keyed.filter(F.size("grams") > 0).select("h1", "h2", "id", F.size("grams").alias("size"), minhash(F.col("grams")).alias("values"))
-    made = hashed.select("h1", "h2", "id", "size", _banded(F.col("values")).alias("bands"), _packed(F.col("values")).alias("words"))
+    made = hashed.select("h1", "h2", "id", "size", _banded(F.col("values"), F.col("size")).alias("bands"), _packed(F.col("values")).alias("words"))
     return made.groupBy("h1", "h2").agg(
         F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"),
         F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("words").alias("words"),
     )
 
 
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """Distinct ``(a, b)``, ``a < b``, of nodes that share a band."""
+def _stays(threshold: float, tolerance: float) -> Column:
+    """Whether the pair of a row (``na nb``, words ``a0 ..`` and ``b0 ..``) passes every step.
+
+    Plain columns keep the generated code of the join small enough to be compiled.
+    """
+    least = least_matches(threshold, tolerance)
+    small = F.greatest("na", "nb")
+
+    def seen(values: int) -> Column:
+        total = F.lit(0)
+        for w in range(values // STEP):
+            total = total + _matching(F.col(f"a{w}"), F.col(f"b{w}"))
+        return total
+
+    # fewer independent values than are compared: the whole comparison counts as so many
+    needed = F.lit(least[VALUES])
+    for worth in range(VALUES - STEP, 0, -STEP):
+        needed = F.when(small < 2 * (worth + STEP), F.lit(-(-least[worth] * VALUES // worth))).otherwise(needed)
+    needed = F.when(small < 2 * STEP, F.lit(0)).otherwise(needed)
+    stays = F.lit(True)
+    for values in (VALUES // 4, VALUES // 2):
+        stays = stays & ((small < 2 * VALUES) | (seen(values) >= least[values]))
+    return stays & (seen(VALUES) >= needed)
+
+
+def candidate_pairs(signed: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """Distinct ``(a, b)``, ``a < b``, of nodes that share a band and may reach the threshold."""
     rows = signed.select("node", F.explode("bands").alias("band"))
     counted = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("n > 1")
     blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
     own = counted.select("band", "node", blocks.alias("blocks")).withColumn("own", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
+    # the bands as 25 bits of hash over the 7 of the number, for the test of the first shared one
+    short = F.transform("bands", lambda b: (b.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) - F.lit(1 << 31)).cast("int"))
+    sides = signed.select("node", "size", short.alias("short"), *[F.col("words")[w].alias(f"w{w}") for w in range(VALUES // STEP)])
+    held = own.join(sides, "node")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = own.select("band", F.col("node").alias("a"), F.col("own").alias("x"), every.alias("y"))
-    right = own.select("band", F.col("node").alias("b"), every.alias("x"), F.col("own").alias("y"))
-    return left.join(right, ["band", "x", "y"]).filter("a < b").select("a", "b").distinct()
-
 
-def prune(pairs: DataFrame, signed: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """The pairs whose posterior stays above the tolerance at every step."""
-    left = signed.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("words").alias("wa"))
-    right = signed.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("words").alias("wb"))
-    both = pairs.join(left, "a").join(right, "b")
-    least = least_matches(threshold, tolerance)
-    seen, stays = F.lit(0), F.lit(True)
-    for w in range(VALUES // STEP):
-        seen = seen + _matching(F.col("wa")[w], F.col("wb")[w])
-        stays = stays & (seen >= least[STEP * (w + 1)])
-    small = F.least("na", "nb") < SMALL
-    possible = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
-    return both.filter(possible & (small | stays)).select("a", "b")
+    def side(c: str, mine: str, others: str) -> DataFrame:
+        words = [F.col(f"w{w}").alias(f"{c}{w}") for w in range(VALUES // STEP)]
+        named = [F.col(x).alias(y) for x, y in (("node", c), ("size", f"n{c}"), ("short", f"s{c}"))]
+        return held.select("band", F.col("own").alias(mine), every.alias(others), *named, *words)
+
+    left, right = side("a", "x", "y"), side("b", "y", "x")
+    here = (F.col("l.band").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) - F.lit(1 << 31)).cast("int")
+    met = left.alias("l").join(
+        right.alias("r"),
+        (F.col("l.band") == F.col("r.band")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y")) & (F.col("a") < F.col("b"))
+        & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & _stays(threshold, tolerance)
+        & (F.get(F.array_intersect("sa", "sb"), F.lit(0)) == here),
+    )
+    return met.select("a", "b")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -216,7 +252,7 @@ def jaccard_links(
 ) -> tuple[DataFrame, DataFrame]:
     """Distinct texts ``(h1, h2, node, copies)`` and links ``(a, b, jaccard)`` between them."""
     signed = cut(signatures(docs, id_col, text_col, n))
-    pairs = prune(candidate_pairs(signed), signed, threshold, tolerance)
+    pairs = candidate_pairs(signed, threshold, tolerance)
     links = cut(verify(pairs, docs, threshold, id_col, text_col, n))
     return signed.select("h1", "h2", "node", "copies"), links
 
