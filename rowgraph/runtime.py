@@ -33,10 +33,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and written to the shared checkpoint folder.
+
+    The shuffle files behind it are not needed any more and go at once, so a
+    long chain of steps holds the disk of one step, not of all.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # the setting counts for plans made while it is on
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def ship_package(spark: SparkSession) -> None:
