@@ -6,7 +6,9 @@ hashes: value j is the first hash at or after the start of the j-th of 128
 equal ranges, cyclically, so one hash function and one sort give them all and
 none is ever missing.  Bands of three distant values put the classes in
 buckets; texts below ``FEW`` n-grams, whose values repeat, get three times as
-many.  A pair of a bucket is taken up in the first band that it shares, and
+many.  Texts below ``EXACT`` n-grams, whose values are copies of a few hashes,
+get none: their pairs, with one another and with longer texts, come from a
+prefix filter that loses nothing.  A pair of a bucket is taken up in the first band that it shares, and
 its values, four bits of each, are compared in steps: after each step the
 pair is dropped if the posterior probability that its similarity reaches
 the threshold, given the matches so far and a uniform prior, is below the
@@ -16,6 +18,13 @@ alone rule the threshold out is dropped as well.  All this happens while a
 bucket is joined with itself, so only pairs that pass are ever shuffled; they
 are then verified on the whole sets.
 
+The prefix filter puts the n-grams of a set in one order for all sets, rarest
+first.  A pair that reaches the threshold shares an n-gram among the first
+``size - need + 1`` of each set, ``need`` being the least overlap that the size
+allows; n-grams that no other set has are never posted.  A pair is taken up at
+its first common n-gram and kept if what the prefixes share and what lies
+behind them can add up to the overlap that the threshold asks for.
+
 For verification classes are put in blocks of ``BLOCK`` along their least
 neighbour, and a task holds two blocks: a set travels once a pair of blocks,
 not once a pair of texts.  A bucket of many classes is split into blocks
@@ -48,6 +57,7 @@ ROWS = 3
 BANDS = VALUES // ROWS
 STEP = 16
 FEW = 128
+EXACT = 64
 BLOCK = 256
 BUCKET_BLOCK = 512
 
@@ -134,7 +144,8 @@ def _banded(values: Column, size: Column) -> Column:
             ).bitwiseAND(F.lit(-128)).bitwiseOR(b.cast("long")),
         )
 
-    return F.when(size < FEW, bands(3 * BANDS)).otherwise(bands(BANDS))
+    none = F.array().cast("array<bigint>")
+    return F.when(size < EXACT, none).when(size < FEW, bands(3 * BANDS)).otherwise(bands(BANDS))
 
 
 def _matching(a: Column, b: Column) -> Column:
@@ -148,16 +159,19 @@ def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Rows ``(h1, h2, node, copies, size, bands, words)``, one per distinct text with a word."""
+def signatures(docs: DataFrame, threshold: float, id_col: str, text_col: str, n: int) -> DataFrame:
+    """Rows ``(h1, h2, node, copies, size, bands, words, grams)``, one per distinct text with a word.
+
+    ``grams`` is null for sets too large to reach the threshold with one below ``EXACT``.
+    """
     keyed = docs.filter(F.col(id_col).isNotNull()).select(
         *_text_key(F.col(text_col)), F.col(id_col).alias("id"), F.array_distinct(word_ngrams(F.col(text_col), n)).alias("grams")
     )
-    hashed = keyed.filter(F.size("grams") > 0).select("h1", "h2", "id", F.size("grams").alias("size"), minhash(F.col("grams")).alias("values"))
-    made = hashed.select("h1", "h2", "id", "size", _banded(F.col("values"), F.col("size")).alias("bands"), _packed(F.col("values")).alias("words"))
+    hashed = keyed.filter(F.size("grams") > 0).select("h1", "h2", "id", F.size("grams").alias("size"), minhash(F.col("grams")).alias("values"), F.when(F.size("grams") * threshold < EXACT, F.col("grams")).alias("grams"))
+    made = hashed.select("h1", "h2", "id", "size", "grams", _banded(F.col("values"), F.col("size")).alias("bands"), _packed(F.col("values")).alias("words"))
     return made.groupBy("h1", "h2").agg(
         F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"),
-        F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("words").alias("words"),
+        F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("words").alias("words"), F.first("grams").alias("grams"),
     )
 
 
@@ -214,6 +228,48 @@ def candidate_pairs(signed: DataFrame, threshold: float, tolerance: float) -> Da
     return met.select("a", "b")
 
 
+def _least_overlap(share: float, size: Column) -> Column:
+    """The least whole number of n-grams that is ``share`` of ``size``, against rounding."""
+    return F.ceil(size * share - 1e-9).cast("int")
+
+
+def short_pairs(signed: DataFrame, threshold: float) -> DataFrame:
+    """Distinct ``(a, b)``, ``a < b``, with every pair that reaches the threshold and has a set below ``EXACT``."""
+    sets = signed.filter(F.col("grams").isNotNull())
+    rows = sets.select("node", "size", F.explode("grams").alias("gram"))
+    counted = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter("n > 1")
+    # what only one set has comes first in the order and cannot be common
+    ordered = counted.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("known"))
+    room = F.col("size") - _least_overlap(threshold, F.col("size")) + 1 - (F.col("size") - F.size("known"))
+    prefix = F.slice("known", F.lit(1), F.greatest(room, F.lit(0)))
+    sides = ordered.select("node", "size", prefix.alias("prefix"), (F.size("known") - F.size(prefix)).alias("rest"), (F.col("size") - F.size("known")).alias("own"))
+    blocks = F.ceil(F.col("e.n") / BUCKET_BLOCK).cast("int")
+    posted = sides.select(
+        "node", "size", "rest", "own", F.transform("prefix", lambda e: e["gram"]).alias("grams"), F.posexplode("prefix").alias("at", "e")
+    ).select("node", "size", "rest", "grams", F.col("e.gram").alias("gram"), (F.col("own") + F.col("at")).alias("at"), blocks.alias("blocks"))
+    held = posted.withColumn("mine", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+
+    def side(rows: DataFrame, c: str, mine: str, others: str) -> DataFrame:
+        named = [F.col(x).alias(y) for x, y in (("node", c), ("size", f"n{c}"), ("rest", f"r{c}"), ("grams", f"g{c}"), ("at", f"p{c}"))]
+        return rows.select("gram", F.col("mine").alias(mine), every.alias(others), *named)
+
+    # of the smaller set fewer n-grams are needed, as the other is no smaller
+    least = _least_overlap(2 * threshold / (1 + threshold), F.col("size"))
+    small = held.filter((F.col("size") < EXACT) & (F.col("at") <= F.col("size") - least))
+    left, right = side(small, "a", "x", "y"), side(held, "b", "y", "x")
+    need = _least_overlap(threshold / (1 + threshold), F.col("na") + F.col("nb"))
+    met = left.alias("l").join(
+        right.alias("r"),
+        (F.col("l.gram") == F.col("r.gram")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y"))
+        & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+        & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+        & (F.get(F.array_intersect("ga", "gb"), F.lit(0)) == F.col("l.gram"))
+        & (F.size(F.array_intersect("ga", "gb")) + F.greatest("ra", "rb") >= need),
+    )
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str, n: int) -> DataFrame:
     """``(a, b, jaccard)`` of the pairs that reach the threshold on whole sets."""
     pairs = cut(pairs)
@@ -251,8 +307,8 @@ def jaccard_links(
     docs: DataFrame, threshold: float = 0.5, n: int = 3, tolerance: float = 1e-4, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
     """Distinct texts ``(h1, h2, node, copies)`` and links ``(a, b, jaccard)`` between them."""
-    signed = cut(signatures(docs, id_col, text_col, n))
-    pairs = candidate_pairs(signed, threshold, tolerance)
+    signed = cut(signatures(docs, threshold, id_col, text_col, n))
+    pairs = candidate_pairs(signed, threshold, tolerance).unionAll(short_pairs(signed, threshold))
     links = cut(verify(pairs, docs, threshold, id_col, text_col, n))
     return signed.select("h1", "h2", "node", "copies"), links
 

@@ -144,6 +144,37 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
         assert {i: r["class_id"] for i, r in found.items()} == {i: root(i) for i in parent}
 
 
+def test_links_of_short_texts_equal_brute_force(spark, monkeypatch):
+    texts, k = [], 0
+    for size in range(1, 31):
+        for j in (0.5, 0.6, 0.7, 0.8, 0.9):
+            for grown in (True, False):
+                # n-grams of one set, and a second that holds it or differs at the end
+                shared = size if grown else -(-int(2 * j * size * 1000) // int((1 + j) * 1000))
+                more = int(size / j + 1e-9) - size if grown else size - shared
+                base = [f"w{k}x{i}" for i in range(size + 2)]
+                other = base[: shared + 2] + [f"v{k}x{i}" for i in range(more)]
+                texts += [" ".join(base), " ".join(other)]
+                k += 1
+    # a long text that holds a short one, and one n-gram in very many texts
+    long = [f"l{i}" for i in range(122)]
+    texts += [" ".join(long), " ".join(long[:64]), " ".join(long[:63])]
+    texts += [f"all share this t{i} " + " ".join(f"u{i % 7}y{m}" for m in range(i % 5)) for i in range(60)]
+    texts = list(enumerate(texts, 1))
+    want = exact_links(texts)
+    assert len(want) > 300
+    d = docs(spark, *[t for _, t in texts])
+    for block in (jaccard.BUCKET_BLOCK, 5):
+        monkeypatch.setattr(jaccard, "BUCKET_BLOCK", block)
+        _, links = jaccard.jaccard_links(d)
+        found = sorted((r["a"], r["b"]) for r in links.collect())
+        # copies are one node
+        first = {}
+        for i, t in texts:
+            first.setdefault(t, i)
+        assert found == sorted((a, b) for a, b in want if first[texts[a - 1][1]] == a and first[texts[b - 1][1]] == b)
+
+
 def test_keep_one_drops_copies_and_repeated_rows(spark):
     d = docs(spark, "a b c d e f", "a b c d e f", "x y z").unionAll(docs(spark, "a b c d e f"))
     kept = jaccard.keep_one(d)
