@@ -32,6 +32,8 @@ from rowgraph.runtime import ship_package
 
 #: Entries a worker keeps of words and of pieces already encoded; the oldest half goes when one is full.
 PIECE_CACHE = 500_000
+#: A space beside other white space: one match of the pattern may hold both.
+SPACES = regex.compile(r" \s|\s ")
 #: Token pairs a vocabulary remembers as joinable or not.
 PAIR_CACHE = 1_000_000
 
@@ -182,10 +184,11 @@ class Encoder:
         """Number of tokens, decimal ids joined by spaces, and the decoded bytes.
 
         No match of the pattern has a space after its first character unless it
-        is a run of white space.  So a text without two spaces in a row may be
-        cut before every space, and whole words are looked up instead of cut.
+        is a run of white space.  So a text without a space next to other white
+        space may be cut before every space, and whole words are looked up
+        instead of cut.
         """
-        if "  " in text:
+        if SPACES.search(text):
             found = self._cut(text)
         else:
             first, *words = text.split(" ")

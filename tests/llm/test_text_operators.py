@@ -48,6 +48,18 @@ def test_encoding_equals_the_library(encoder, reference):
         assert (n, ids.decode(), decoded) == (len(want), " ".join(map(str, want)), text.encode())
 
 
+def test_mixed_white_space_equals_the_library(encoder, reference):
+    rng = random.Random(3)
+    spaces = " \u00a0\u2003\u3000\t\n\r\x0b\x0c\x1c\x85\u2028\u200b"
+    texts = ["a \u00a0 \u00a0 word", "a\u00a0 \u00a0 b", " \u00a0 \u00a0" * 4]
+    texts += ["".join(rng.choices(spaces + "  \u00a0\u00a0ab1.'s", k=rng.randint(0, 30))) for _ in range(5000)]
+    for text in texts:
+        want = reference.encode_ordinary(text)
+        assert encoder.encode(text) == want
+        n, ids, decoded = encoder.rendered(text)
+        assert (n, ids.decode(), decoded) == (len(want), " ".join(map(str, want)), text.encode())
+
+
 def test_edits_and_appends_are_exact_and_local(encoder, reference):
     rng = random.Random(2)
     text = bpe.EditableText(encoder)
