@@ -2,10 +2,11 @@
 
 Every vector is represented by the order of its nearest pivots and posted in
 the inverted files of the first ``post`` of them.  A query opens the files of
-its own first ``probe`` pivots, ranks what they hold by the footrule distance
-between the two orders, and reranks by the exact inner product what lies
-within ``reach`` of the least; every vector of every file opened is ranked, so
-no list is cut at a length.
+its own first ``probe`` pivots and ranks every vector that they hold by the
+exact inner product.  Nothing in an opened file is dropped, neither at a length
+nor by the footrule distance between the two orders: the vectors are read
+anyway, the footrule costs more than the product, and a bound on it that is
+fitted to a sample loses neighbours where the sample is unlike the whole.
 
 Pivots are a bounded sample (``pivots`` vectors of least id hash); every row
 is posted.  Files with many vectors or many queries are split into blocks, and
@@ -39,8 +40,8 @@ EXACT = 4000
 class Index:
     """Pivots, and the orders of vectors by them."""
 
-    def __init__(self, pivots: np.ndarray, post: int, probe: int, depth: int, reach: float):
-        self.pivots, self.post, self.probe, self.depth, self.reach = pivots, post, probe, depth, reach
+    def __init__(self, pivots: np.ndarray, post: int, probe: int):
+        self.pivots, self.post, self.probe = pivots, post, probe
 
     def orders(self, x: np.ndarray) -> np.ndarray:
         """For each vector its pivots, nearest (greatest cosine) first."""
@@ -105,10 +106,6 @@ def _search(vectors: DataFrame, queries: DataFrame, index: Index, k: int, all_fi
                 rows = np.flatnonzero(new)
                 if not len(rows):
                     continue
-                if not all_files:
-                    steps = np.arange(index.depth, dtype=np.int16)
-                    foot = np.abs(vpos[rows][:, order[: index.depth]] - steps).sum(axis=1, dtype=np.int32)
-                    rows = rows[foot <= index.reach]
                 score = vx[rows] @ q
                 if len(rows) > k:
                     # all that tie with the k-th stay for the order by id
@@ -127,23 +124,13 @@ def _search(vectors: DataFrame, queries: DataFrame, index: Index, k: int, all_fi
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _fit(vectors: DataFrame, n: int, pivots: int, post: int, probe: int, depth: int, calibrate: int, keep: float) -> Index:
-    """Pivots from a bounded sample; the reach from pairs of near vectors in it."""
+def _fit(vectors: DataFrame, pivots: int, post: int, probe: int, calibrate: int) -> Index:
+    """Pivots from a bounded sample."""
     rows = vectors.orderBy(F.xxhash64("id"), "id").limit(calibrate).collect()
     most = max((len(r["v"]) for r in rows), default=0)
     x = np.array([r["v"] for r in rows if len(r["v"]) == most], dtype=np.float64)
     unit = x / np.linalg.norm(x, axis=1)[:, None] if len(x) else np.zeros((0, 1))
-    index = Index(unit[:pivots], post, probe, min(depth, len(unit[:pivots])), np.inf)
-    if n > EXACT:
-        probes = unit[-400:]
-        near = probes @ unit.T
-        near[np.arange(len(probes)), np.arange(len(unit) - len(probes), len(unit))] = -np.inf
-        best = np.argsort(-near, axis=1)[:, :2]
-        orders, positions = index.orders(probes), _positions(index.orders(unit))
-        steps = np.arange(index.depth)
-        foot = [np.abs(positions[b][:, o[: index.depth]] - steps).sum(axis=1) for b, o in zip(best, orders)]
-        index.reach = float(np.quantile(np.concatenate(foot), keep))
-    return index
+    return Index(unit[:pivots], post, probe)
 
 
 def nearest(
@@ -155,16 +142,14 @@ def nearest(
     pivots: int = 64,
     post: int = 14,
     probe: int = 14,
-    depth: int = 32,
     calibrate: int = 4000,
-    keep: float = 0.985,
 ) -> DataFrame:
     """Rows ``(query_id, rank, vec_id, score)`` for the rows that ``is_query`` picks."""
     ship_package(table.sparkSession)
     good = clean(table, id_col, vector_col).withColumn("id", F.col("id").cast("long"))
     asks = clean(table.filter(is_query), id_col, vector_col).withColumn("id", F.col("id").cast("long")).dropDuplicates(["id"])
     n = good.count()
-    index = _fit(good, n, pivots, post, probe, depth, calibrate, keep)
+    index = _fit(good, pivots, post, probe, calibrate)
     if not len(index.pivots):
         return good.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     same = F.size("v") == index.pivots.shape[1]

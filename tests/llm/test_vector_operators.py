@@ -83,3 +83,17 @@ def test_recall_beyond_the_exact_size(spark, monkeypatch):
     want = exact(x, range(0, 3000, 50), 10)
     assert len(found) == 600
     assert sum(r["vec_id"] in want[r["query_id"]] for r in found) / 600 >= 0.9
+
+
+@pytest.mark.parametrize("copies", [1, 4])
+def test_recall_just_above_the_exact_size(spark, copies):
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((40, 64))
+    base = centres[rng.integers(0, 40, 4500 // copies)] + 0.5 * rng.standard_normal((4500 // copies, 64))
+    x = np.repeat(base, copies, axis=0) + 0.02 * rng.standard_normal((4500 // copies * copies, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert len(x) > ann.EXACT
+    found = ann.nearest(table(spark, list(x)), F.col("vec_id") % 30 == 0).collect()
+    want = exact(x, range(0, len(x), 30), 20)
+    assert len(found) == 20 * len(want)
+    assert sum(r["vec_id"] in want[r["query_id"]] for r in found) / len(found) >= 0.99
