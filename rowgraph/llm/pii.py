@@ -5,7 +5,7 @@ social security numbers, IBANs and titled names.  Each entity gets a surrogate
 of its own type that depends on a key and on the entity alone, so one entity
 has one surrogate in every document:
 
-* digits (phones after the country code, cards, social security numbers,
+* digits (phones after the country code, which is known by its digits, cards, social security numbers,
   IBANs) and IPv4 addresses go through a keyed Feistel network, a bijection on
   strings of their length: distinct entities stay distinct by construction and
   separators stay where they are.  The last digit of a card whose check digit
@@ -13,12 +13,15 @@ has one surrogate in every document:
 * mail addresses get a keyed local part in a reserved domain, in capitals if
   the address was;
 * names are replaced word by word, given names from a list that fits the
-  gender of the title and the script, surnames by keyed syllables of the
-  script; so ``Ms. Weber`` and ``Dr. Anna Weber`` still share a surname.
-
-What is no bijection is checked: the distinct entities of the whole input are
-grouped by surrogate, and all but the least of those that share one (or that
-meet a real entity) are drawn again until none does.  The few drawn again
+  gender of the titles and the script, surnames by keyed syllables of the
+  script; so ``Ms. Weber`` and ``Dr. Anna Weber`` still share a surname.  A
+  person's gender is what the titles before the whole name agree on anywhere in
+  the input, so ``Ms. Anna Weber`` and ``Dr. Anna Weber`` share a given name too.
+
+What is no bijection is checked: the distinct mail addresses, surnames and whole
+names of the whole input are grouped by surrogate, and all but the least of those that share one (or that
+meet a real entity) are drawn again until none does; given names grow by a syllable
+with each draw.  The few drawn again, and those whose gender another mention tells,
 travel to their own documents by a join on the id.
 
 Defined results: a null text stays null, an empty one empty; documents without
@@ -57,6 +60,9 @@ _NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}[\p{{Ll}}\p{{M}}'’-]+
 #: What is looked for; the first alternative that matches at a place wins.
 ENTITY = "|".join(f"(?:{p})" for p in (_MAIL, _PHONE, _IP, _SSN, _CARD, _IBAN, _NAME))
 
+#: The country codes of E.164: of one digit, of two, the rest of three.
+_COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 _GIVEN = {
     ("male", "latin"): "Adrian Bruno Carlos Dennis Edgar Felix Gregor Hugo Ivan Jonas Karl Leon Martin Nils Oscar Paul".split(),
     ("female", "latin"): "Alma Berta Clara Diana Elena Fiona Greta Helena Irene Julia Karla Laura Maria Nina Olga Paula".split(),
@@ -165,6 +171,21 @@ def _given(digest: Column, gender: Column, script: Column) -> Column:
     return out
 
 
+def _more(digest: Column, script: Column, attempt: Column) -> Column:
+    """A syllable for each draw after the first, six at most."""
+    def made(s: str) -> Column:
+        return F.concat(*[F.when(attempt >= k, _pick(_SYLLABLES[s], digest, k)).otherwise("") for k in range(1, 7)])
+
+    return F.when(script == "cyrillic", made("cyrillic")).otherwise(made("latin"))
+
+
+def _given_words(key: str, words: Column, gender: Column, attempt: Column) -> Column:
+    """The surrogates of all words of a name but the last."""
+    return F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda x: let(
+        F.when(attempt > 0, _digest(key, "given", x, attempt.cast("string"))).otherwise(_digest(key, "given", x)),
+        lambda d: F.concat(_given(d, gender, _script(x)), _more(d, _script(x), attempt))))
+
+
 def _surname(digest: Column, script: Column) -> Column:
     def made(s: str) -> Column:
         return F.initcap(F.concat(*[_pick(_SYLLABLES[s], digest, k) for k in range(1, 6)]))
@@ -205,30 +226,49 @@ def _gender(e: Column) -> Column:
 
 
 def drawn_words(e: Column) -> Column:
-    """The parts of an entity whose surrogates are drawn, not bijective: ``kind``, ``canon``."""
+    """The parts of an entity whose surrogates are drawn, not bijective: ``kind``, ``canon``, ``gender``.
+
+    Given names are drawn for the whole name, by the gender of its titles.
+    """
     kind = kind_of(e)
-    words = F.split(canonical(F.lit("name"), e), " ")
+    name = canonical(F.lit("name"), e)
+    words = F.split(name, " ")
+
+    def part(kind: str, canon: Column, gender: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), canon.alias("canon"), gender.alias("gender"))
+
+    none = F.lit(None).cast("string")
+    last = part("surname", F.element_at(words, -1), none)
     return (
-        F.when(kind == "mail", F.array(F.struct(F.lit("mail").alias("kind"), F.lower(e).alias("canon"))))
-        .when(kind == "name", F.transform(F.slice(words, -1, 1), lambda w: F.struct(F.lit("surname").alias("kind"), w.alias("canon"))))
-        .otherwise(F.array().cast("array<struct<kind:string,canon:string>>"))
+        F.when(kind == "mail", F.array(part("mail", F.lower(e), none)))
+        .when((kind == "name") & (F.size(words) > 1), F.array(last, part("given", name, _gender(e))))
+        .when(kind == "name", F.array(last))
+        .otherwise(F.array().cast("array<struct<kind:string,canon:string,gender:string>>"))
     )
 
 
-def drawn(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
+def drawn(key: str, kind: Column, canon: Column, attempt: Column, gender: Column | None = None) -> Column:
+    """A drawn surrogate; of ``given`` it is that of the given names and the real surname, whose surrogate is its own."""
     d = _digest(key, kind, canon, attempt.cast("string"))
-    return F.when(
+    made = F.when(
         kind == "mail", let(d, lambda d: F.concat(_letters(d, 16), F.lit("@mail.example.org")))
     ).otherwise(let(d, lambda d: _surname(d, _script(canon))))
+    if gender is None:
+        return made
+    words = F.split(canon, " ")
+    return F.when(kind == "given", F.concat_ws(" ", _given_words(key, words, gender, attempt), F.element_at(words, -1))).otherwise(made)
 
 
 def surrogate(key: str, e: Column, attempts: Column | None = None) -> Column:
-    """The replacement for entity ``e``; ``attempts`` maps ``kind:canon`` to its draw."""
+    """The replacement for entity ``e``; ``attempts`` maps ``kind:canon`` to its draw and gender."""
 
-    def tries(kind: str, canon: Column) -> Column:
+    def known(kind: str, canon: Column, field: str, otherwise: Column) -> Column:
         if attempts is None:
-            return F.lit(0)
-        return F.coalesce(F.try_element_at(attempts, F.concat(F.lit(kind + ":"), canon)), F.lit(0))
+            return otherwise
+        return F.coalesce(F.try_element_at(attempts, F.concat(F.lit(kind + ":"), canon))[field], otherwise)
+
+    def tries(kind: str, canon: Column) -> Column:
+        return known(kind, canon, "attempt", F.lit(0))
 
     def mail(e: Column) -> Column:
         return let(F.lower(e), lambda c: let(drawn(key, F.lit("mail"), c, tries("mail", c)), lambda s: F.when(
@@ -236,18 +276,20 @@ def surrogate(key: str, e: Column, attempts: Column | None = None) -> Column:
 
     def name(e: Column) -> Column:
         title = F.regexp_extract(e, rf"^(?:{_TITLES})\.? ", 0)
-        words = F.split(canonical(F.lit("name"), e), " ")
-        gender = _gender(e)
-        return let(words, lambda w: F.concat(title, F.concat_ws(" ", F.transform(w, lambda x, i: F.when(
-            i + 1 == F.size(w), drawn(key, F.lit("surname"), x, tries("surname", x))
-        ).otherwise(let(_digest(key, "given", x), lambda d: _given(d, gender, _script(x))))))))
+        canon = canonical(F.lit("name"), e)
+        tuned = F.struct(
+            canon.alias("canon"), F.split(canon, " ").alias("words"),
+            tries("given", canon).alias("attempt"), known("given", canon, "gender", _gender(e)).alias("gender"),
+        )
+        last = lambda n: F.element_at(n["words"], -1)
+        return let(tuned, lambda n: F.concat(title, F.concat_ws(
+            " ", _given_words(key, n["words"], n["gender"], n["attempt"]), drawn(key, F.lit("surname"), last(n), tries("surname", last(n))))))
 
     def phone(e: Column) -> Column:
-        # the country code and what follows it up to a separator stay
-        code = F.regexp_extract(e, r"^(\+\d{1,3})[ .(-]", 1)
-        rest = e.substr(F.length(code) + 1, F.length(e))
-        return let(F.struct(code.alias("c"), rest.alias("r")), lambda s: F.concat(s["c"], let(
-            F.regexp_replace(s["r"], "[^0-9]", ""), lambda d: _fill_digits(s["r"], _map_digits(key, "phone", d)))))
+        # the country code stays; it follows from the digits, so separators do not matter
+        return let(canonical(F.lit("phone"), e), lambda c: let(F.regexp_extract(c, _COUNTRY, 1), lambda code: let(
+            F.regexp_replace(c, "[^0-9]", ""), lambda d: _fill_digits(
+                e, F.concat(code, _map_digits(key, "phone", d.substr(F.length(code) + 1, F.length(d))))))))
 
     def digits(tag: str) -> Callable[[Column], Column]:
         return lambda e: let(F.regexp_replace(e, "[^0-9]", ""), lambda d: _fill_digits(
@@ -264,32 +306,36 @@ def _redraw(docs: DataFrame, key: str, text_col: str, id_col: str) -> DataFrame
     found = (
         docs.select(F.col(id_col).alias("_pii_id"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(ENTITY), F.lit(0))).alias("e"))
         .select("_pii_id", F.explode(drawn_words(F.col("e"))).alias("w"))
-        .select("_pii_id", "w.kind", "w.canon")
+        .select("_pii_id", "w.kind", "w.canon", "w.gender")
         .distinct()
     )
     found = cut(found)
-    pending = found.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))
-    again = None
+    # titles of one gender decide; a name with both, or with neither, is of either
+    male, female = F.coalesce(F.max(F.col("gender") == "male"), F.lit(False)), F.coalesce(F.max(F.col("gender") == "female"), F.lit(False))
+    agreed = F.when(male & ~female, "male").when(female & ~male, "female").otherwise("either")
+    genders = found.groupBy("kind", "canon").agg(agreed.alias("agreed"))
+    pending = cut(genders.withColumn("attempt", F.lit(0)))
     for _ in range(64):
-        made = pending.withColumn("made", drawn(key, F.col("kind"), F.col("canon"), F.col("attempt")))
+        made = pending.withColumn("made", drawn(key, F.col("kind"), F.col("canon"), F.col("attempt"), F.col("agreed")))
         first = made.groupBy("kind", "made").agg(F.min("canon").alias("least"), F.count(F.lit(1)).alias("n"))
-        real = made.select("kind", F.col("canon").alias("made")).distinct().withColumn("real", F.lit(True))
+        real = made.filter("kind <> 'given'").select("kind", F.col("canon").alias("made")).distinct().withColumn("real", F.lit(True))
         judged = made.join(first, ["kind", "made"]).join(real, ["kind", "made"], "left")
         bad = F.col("real").isNotNull() | ((F.col("n") > 1) & (F.col("canon") != F.col("least")))
-        pending = cut(judged.select("kind", "canon", F.when(bad, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), bad.alias("bad")))
+        pending = cut(judged.select("kind", "canon", "agreed", F.when(bad, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), bad.alias("bad")))
         if not pending.filter("bad").limit(1).count():
             break
-        again = pending = pending.drop("bad")
+        pending = pending.drop("bad")
     else:
         raise RuntimeError("the pools of surrogates are too small for the distinct entities")
-    if again is None:
-        return None
-    moved = pending.filter("attempt > 0").select("kind", "canon", "attempt")
-    return (
-        found.join(moved, ["kind", "canon"])
-        .groupBy("_pii_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "canon"), "attempt"))).alias("_pii_attempts"))
+    moved = (
+        found.join(pending.select("kind", "canon", "attempt", "agreed"), ["kind", "canon"])
+        .filter((F.col("attempt") > 0) | (F.col("gender") != F.col("agreed")))
+        .select("_pii_id", F.concat_ws(":", "kind", "canon").alias("name"), F.struct("attempt", F.col("agreed").alias("gender")).alias("draw"))
+        .distinct()
     )
+    if not moved.limit(1).count():
+        return None
+    return moved.groupBy("_pii_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "draw"))).alias("_pii_attempts"))
 
 
 def replace_entities(

@@ -230,6 +230,27 @@ def test_distinct_entities_stay_distinct(spark, monkeypatch):
     assert len({r["text"] for r in pii.replace_entities(docs(spark, *mails)).collect()}) == 9
 
 
+def test_names_and_phones_keep_and_tell_apart(spark):
+    given = [a + b for a in ("An", "Be", "Cla", "Do", "Em", "Fri", "Ge", "Han") for b in ("na", "rta", "ra", "lla", "mi")]
+    texts = [f"Ms. {g} Weber" for g in given]
+    texts += ["Dr. Anna Weber", "Ms. Weber and Prof. Berta Weber", "Dr. Kim Lang", "г-жа Анна Петрова; Prof. Анна Петрова"]
+    texts += ["+49123456789", "+49 123 456789", "+49-123-456789", "+1 2865555136", "+12865555136", "+491234567"]
+    out = [r["text"] for r in pii.replace_entities(docs(spark, *texts)).orderBy("doc_id").collect()]
+    women = out[: len(given)]
+    assert len(set(women)) == len(given)
+    assert {w.split()[2] for w in women} == {women[0].split()[2]}
+    for w in women:
+        assert w.split()[1][:3] in {n[:3] for n in pii._GIVEN[("female", "latin")]}
+    at = len(given)
+    anna, berta = women[given.index("Anna")], women[given.index("Berta")]
+    assert out[at].split()[1:] == anna.split()[1:] and out[at + 1].split(" and ")[1].split()[1:] == berta.split()[1:]
+    left, right = out[at + 3].split("; ")
+    assert left.split()[1:] == right.split()[1:]
+    phones = [re.sub("[^0-9+]", "", x) for x in out[at + 4 :]]
+    assert phones[0] == phones[1] == phones[2] != "+49123456789" and phones[3] == phones[4]
+    assert phones[0].startswith("+49") and phones[3].startswith("+1") and out[at + 5][3] == " " and out[at + 6][7] == "-"
+
+
 # --- secrets
 
 
