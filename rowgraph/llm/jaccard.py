@@ -5,11 +5,12 @@ one class first.  Each class gets 128 MinHash values from one sorted array of it
 hashes: value j is the first hash at or after the start of the j-th of 128
 equal ranges, cyclically, so one hash function and one sort give them all and
 none is ever missing.  Bands of three distant values put the classes in
-buckets; texts below ``FEW`` n-grams, whose values repeat, get three times as
-many.  Texts below ``EXACT`` n-grams, whose values are copies of a few hashes,
-get none: their pairs, with one another and with longer texts, come from a
-prefix filter that loses nothing.  A pair of a bucket is taken up in the first band that it shares, and
-its values, four bits of each, are compared in steps: after each step the
+buckets; texts below ``FEW`` n-grams, whose values repeat, get twice as many.
+Texts below ``EXACT`` n-grams, whose values are copies of a few hashes, get
+none: their pairs, with one another and with longer texts, come from a prefix
+filter that loses nothing.  A pair of a bucket is taken up in the first band
+that it shares, judged by the very bits that make the buckets, and its values,
+four bits of each, are compared in steps: after each step the
 pair is dropped if the posterior probability that its similarity reaches
 the threshold, given the matches so far and a uniform prior, is below the
 tolerance.  The values of a set of k n-grams weigh as about k / 2 independent
@@ -21,14 +22,17 @@ are then verified on the whole sets.
 The prefix filter puts the n-grams of a set in one order for all sets, rarest
 first.  A pair that reaches the threshold shares an n-gram among the first
 ``size - need + 1`` of each set, ``need`` being the least overlap that the size
-allows; n-grams that no other set has are never posted.  A pair is taken up at
-its first common n-gram and kept if what the prefixes share and what lies
-behind them can add up to the overlap that the threshold asks for.
-
-For verification classes are put in blocks of ``BLOCK`` along their least
-neighbour, and a task holds two blocks: a set travels once a pair of blocks,
-not once a pair of texts.  A bucket of many classes is split into blocks
-likewise, so no task ever holds a whole hot group, and no partner is left out.
+allows; n-grams that no other set has are never posted.  A pair is kept if the
+places of the common n-gram leave room for the overlap that the threshold asks
+for, and if no more n-grams than it allows are missing on either side by 256
+bits of each set, which never count too many.
+
+Keys are counted with partial sums before anything meets.  A bucket of many
+classes is split into blocks and so is a group of near copies when its pairs
+are verified: there classes are put in blocks of about ``BLOCK_GRAMS`` n-grams
+along their least neighbour, and a task holds two blocks, so that a set travels
+once a pair of blocks, not once a pair of texts, no task ever holds a whole hot
+group, and no partner is left out.
 
 Result: one row per document with ``class_id`` (least id reachable by links),
 ``n_links`` (other documents linked directly, copies included) and
@@ -36,8 +40,8 @@ Result: one row per document with ``class_id`` (least id reachable by links),
 
 Defined results: a text without a word (null, empty, punctuation only) links
 with nothing; a text of fewer than n words is one n-gram; a row with a null id
-is left out; ids are unique but for repeated rows, which count as copies.
-Other columns are ignored.
+is left out of the result (``keep_one`` lets it pass); ids are unique but for
+repeated rows, which count as copies.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +50,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rowgraph.llm.expressions import let
 from rowgraph.operators.components import connected_components
@@ -56,10 +59,12 @@ VALUES = 128
 ROWS = 3
 BANDS = VALUES // ROWS
 STEP = 16
-FEW = 128
+FEW = 256
 EXACT = 64
-BLOCK = 256
-BUCKET_BLOCK = 512
+#: N-grams a block of verification holds on average (8 bytes each).
+BLOCK_GRAMS = 1 << 16
+BUCKET_BLOCK = 256
+_LOW = 0xFFFFFFFF
 
 
 def word_ngrams(text: Column, n: int = 3) -> Column:
@@ -133,19 +138,19 @@ def _packed(values: Column) -> Column:
 
 
 def _banded(values: Column, size: Column) -> Column:
-    """Bucket keys, one a band; the low bits tell the band, so bands never mix."""
+    """32 bits of each band's values; a bucket is a place in this array and what stands there."""
 
     def bands(count: int) -> Column:
         # the places of a band lie a third of the circle apart, shifted from one pass to the next
         return F.transform(
             F.sequence(F.lit(0), F.lit(count - 1)),
-            lambda b: F.xxhash64(
-                b, *[F.get(values, (b % BANDS + r * (BANDS + 11 * F.floor(b / BANDS)).cast("int")) % VALUES) for r in range(ROWS)]
-            ).bitwiseAND(F.lit(-128)).bitwiseOR(b.cast("long")),
+            lambda b: F.shiftright(
+                F.xxhash64(*[F.get(values, (b % BANDS + r * (BANDS + 11 * F.floor(b / BANDS)).cast("int")) % VALUES) for r in range(ROWS)]), 32
+            ).cast("int"),
         )
 
-    none = F.array().cast("array<bigint>")
-    return F.when(size < EXACT, none).when(size < FEW, bands(3 * BANDS)).otherwise(bands(BANDS))
+    none = F.array().cast("array<int>")
+    return F.when(size < EXACT, none).when(size < FEW, bands(2 * BANDS)).otherwise(bands(BANDS))
 
 
 def _matching(a: Column, b: Column) -> Column:
@@ -176,17 +181,17 @@ def signatures(docs: DataFrame, threshold: float, id_col: str, text_col: str, n:
 
 
 def _stays(threshold: float, tolerance: float) -> Column:
-    """Whether the pair of a row (``na nb``, words ``a0 ..`` and ``b0 ..``) passes every step.
+    """Whether the pair of a row (``a_size``, words ``a_w0 ..``; ``b_size``, ``b_w0 ..``) passes every step.
 
     Plain columns keep the generated code of the join small enough to be compiled.
     """
     least = least_matches(threshold, tolerance)
-    small = F.greatest("na", "nb")
+    small = F.greatest("a_size", "b_size")
 
     def seen(values: int) -> Column:
         total = F.lit(0)
         for w in range(values // STEP):
-            total = total + _matching(F.col(f"a{w}"), F.col(f"b{w}"))
+            total = total + _matching(F.col(f"a_w{w}"), F.col(f"b_w{w}"))
         return total
 
     # fewer independent values than are compared: the whole comparison counts as so many
@@ -200,32 +205,49 @@ def _stays(threshold: float, tolerance: float) -> Column:
     return stays & (seen(VALUES) >= needed)
 
 
+def _in_blocks(rows: DataFrame, *key: str) -> DataFrame:
+    """``rows`` with ``lo`` and ``hi``, once for each pair of blocks of its key that holds its own block.
+
+    The exchange is the same for both sides of a join with itself, so it is written once.
+    """
+    own = rows.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = each.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "blocks")
+    return placed.repartition(*key, "lo", "hi")
+
+
+def _met(rows: DataFrame, *key: str) -> tuple[DataFrame, Column]:
+    """Pairs of rows that share a key: every column as ``a_`` and ``b_``, and what makes each pair of blocks count it once."""
+    a, b = (rows.select(*key, "lo", "hi", *[F.col(c).alias(f"{x}_{c}") for c in rows.columns if c not in (*key, "lo", "hi")]) for x in "ab")
+    once = ((F.col("lo") == F.col("hi")) | (F.col("a_own") != F.col("b_own"))) & (F.col("a_node") < F.col("b_node"))
+    return a.hint("merge").join(b, [*key, "lo", "hi"]), once
+
+
+def _blocks_of(n: Column) -> Column:
+    return F.ceil(n / BUCKET_BLOCK).cast("int")
+
+
 def candidate_pairs(signed: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Distinct ``(a, b)``, ``a < b``, of nodes that share a band and may reach the threshold."""
-    rows = signed.select("node", F.explode("bands").alias("band"))
-    counted = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("n > 1")
-    blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
-    own = counted.select("band", "node", blocks.alias("blocks")).withColumn("own", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
-    # the bands as 25 bits of hash over the 7 of the number, for the test of the first shared one
-    short = F.transform("bands", lambda b: (b.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) - F.lit(1 << 31)).cast("int"))
-    sides = signed.select("node", "size", short.alias("short"), *[F.col("words")[w].alias(f"w{w}") for w in range(VALUES // STEP)])
-    held = own.join(sides, "node")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-
-    def side(c: str, mine: str, others: str) -> DataFrame:
-        words = [F.col(f"w{w}").alias(f"{c}{w}") for w in range(VALUES // STEP)]
-        named = [F.col(x).alias(y) for x, y in (("node", c), ("size", f"n{c}"), ("short", f"s{c}"))]
-        return held.select("band", F.col("own").alias(mine), every.alias(others), *named, *words)
-
-    left, right = side("a", "x", "y"), side("b", "y", "x")
-    here = (F.col("l.band").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) - F.lit(1 << 31)).cast("int")
-    met = left.alias("l").join(
-        right.alias("r"),
-        (F.col("l.band") == F.col("r.band")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y")) & (F.col("a") < F.col("b"))
-        & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & _stays(threshold, tolerance)
-        & (F.get(F.array_intersect("sa", "sb"), F.lit(0)) == here),
+    """Rows ``(a, b, na, nb)``, ``a < b``, of nodes that share a band and may reach the threshold."""
+    rows = signed.select("node", F.posexplode("bands").alias("k", "h"))
+    rows = rows.select("node", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("h").cast("long").bitwiseAND(F.lit(_LOW))).alias("band"))
+    counted = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    held = rows.join(counted.hint("merge"), "band").select("band", "node", _blocks_of(F.col("n")).alias("blocks"))
+    zero = F.lit(0).cast("long")
+    # two bands in a word: whether an earlier one is shared is a matter of the same bits that make the buckets
+    pair = lambda i: F.shiftleft(F.get("bands", F.lit(2 * i + 1)).cast("long"), 32).bitwiseOR(F.get("bands", F.lit(2 * i)).cast("long").bitwiseAND(F.lit(_LOW)))
+    sides = signed.filter(F.size("bands") > 0).select(
+        "node", "size", *[F.coalesce(pair(i), zero).alias(f"p{i}") for i in range(BANDS // 2)],
+        *[F.coalesce(F.get("words", F.lit(w)), zero).alias(f"w{w}") for w in range(VALUES // STEP)],
     )
-    return met.select("a", "b")
+    met, once = _met(_in_blocks(held.join(sides.hint("merge"), "node"), "band"), "band")
+    here, apart = F.shiftright("band", 32), F.lit(True)
+    for i in range(BANDS // 2):
+        x = F.col(f"a_p{i}").bitwiseXOR(F.col(f"b_p{i}"))
+        apart = apart & ((here <= 2 * i) | (x.bitwiseAND(F.lit(_LOW)) != 0)) & ((here <= 2 * i + 1) | (F.shiftrightunsigned(x, 32) != 0))
+    near = F.least("a_size", "b_size") >= threshold * F.greatest("a_size", "b_size")
+    kept = met.filter(once & near & _stays(threshold, tolerance) & apart)
+    return kept.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_size").alias("na"), F.col("b_size").alias("nb"))
 
 
 def _least_overlap(share: float, size: Column) -> Column:
@@ -233,52 +255,56 @@ def _least_overlap(share: float, size: Column) -> Column:
     return F.ceil(size * share - 1e-9).cast("int")
 
 
+def _bitmap(grams: Column) -> Column:
+    """256 bits, as four words, of which each n-gram sets one."""
+    none = F.struct(*[F.lit(0).cast("long").alias(f"m{k}") for k in range(4)])
+
+    def add(m: Column, g: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(g, 2).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+        return F.struct(*[F.when(g.bitwiseAND(F.lit(3).cast("long")) == k, m[f"m{k}"].bitwiseOR(bit)).otherwise(m[f"m{k}"]).alias(f"m{k}") for k in range(4)])
+
+    return F.aggregate(grams, none, add)
+
+
 def short_pairs(signed: DataFrame, threshold: float) -> DataFrame:
-    """Distinct ``(a, b)``, ``a < b``, with every pair that reaches the threshold and has a set below ``EXACT``."""
+    """Rows ``(a, b, na, nb)``, ``a < b``, with every pair that reaches the threshold and has a set below ``EXACT``."""
     sets = signed.filter(F.col("grams").isNotNull())
     rows = sets.select("node", "size", F.explode("grams").alias("gram"))
-    counted = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter("n > 1")
+    counted = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # what only one set has comes first in the order and cannot be common
-    ordered = counted.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("known"))
-    room = F.col("size") - _least_overlap(threshold, F.col("size")) + 1 - (F.col("size") - F.size("known"))
-    prefix = F.slice("known", F.lit(1), F.greatest(room, F.lit(0)))
-    sides = ordered.select("node", "size", prefix.alias("prefix"), (F.size("known") - F.size(prefix)).alias("rest"), (F.col("size") - F.size("known")).alias("own"))
-    blocks = F.ceil(F.col("e.n") / BUCKET_BLOCK).cast("int")
-    posted = sides.select(
-        "node", "size", "rest", "own", F.transform("prefix", lambda e: e["gram"]).alias("grams"), F.posexplode("prefix").alias("at", "e")
-    ).select("node", "size", "rest", "grams", F.col("e.gram").alias("gram"), (F.col("own") + F.col("at")).alias("at"), blocks.alias("blocks"))
-    held = posted.withColumn("mine", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-
-    def side(rows: DataFrame, c: str, mine: str, others: str) -> DataFrame:
-        named = [F.col(x).alias(y) for x, y in (("node", c), ("size", f"n{c}"), ("rest", f"r{c}"), ("grams", f"g{c}"), ("at", f"p{c}"))]
-        return rows.select("gram", F.col("mine").alias(mine), every.alias(others), *named)
-
-    # of the smaller set fewer n-grams are needed, as the other is no smaller
-    least = _least_overlap(2 * threshold / (1 + threshold), F.col("size"))
-    small = held.filter((F.col("size") < EXACT) & (F.col("at") <= F.col("size") - least))
-    left, right = side(small, "a", "x", "y"), side(held, "b", "y", "x")
-    need = _least_overlap(threshold / (1 + threshold), F.col("na") + F.col("nb"))
-    met = left.alias("l").join(
-        right.alias("r"),
-        (F.col("l.gram") == F.col("r.gram")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y"))
-        & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-        & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
-        & (F.get(F.array_intersect("ga", "gb"), F.lit(0)) == F.col("l.gram"))
-        & (F.size(F.array_intersect("ga", "gb")) + F.greatest("ra", "rb") >= need),
+    ordered = rows.join(counted.hint("merge"), "gram").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("known"))
+    room = F.size("known") - _least_overlap(threshold, F.col("size")) + 1
+    marked = ordered.filter(room > 0).withColumn("m", _bitmap(F.transform("known", lambda e: e["gram"])))
+    posted = marked.select(
+        "node", "size", (F.col("size") - F.size("known")).alias("own_grams"), "m.*", F.posexplode(F.slice("known", F.lit(1), room)).alias("at", "e")
+    )
+    posted = posted.select(
+        F.col("e.gram").alias("gram"), "node", "size", "own_grams", (F.col("size") - F.col("own_grams") - F.col("at")).alias("left"),
+        _blocks_of(F.col("e.n")).alias("blocks"), *[f"m{k}" for k in range(4)],
+    )
+    met, once = _met(_in_blocks(posted, "gram"), "gram")
+    need = _least_overlap(threshold / (1 + threshold), F.col("a_size") + F.col("b_size"))
+
+    def lost(x: str, y: str) -> Column:
+        """The least number of n-grams of ``x`` that ``y`` has not."""
+        return F.col(f"{x}_own_grams") + sum(F.bit_count(F.col(f"{x}_m{k}").bitwiseAND(F.bitwise_not(f"{y}_m{k}"))) for k in range(4))
+
+    kept = met.filter(
+        once & (F.least("a_size", "b_size") < EXACT) & (F.least("a_left", "b_left") >= need)
+        & (F.col("a_size") - lost("a", "b") >= need) & (F.col("b_size") - lost("b", "a") >= need)
     )
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return kept.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_size").alias("na"), F.col("b_size").alias("nb"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str, n: int) -> DataFrame:
-    """``(a, b, jaccard)`` of the pairs that reach the threshold on whole sets."""
-    pairs = cut(pairs)
-    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(
-        pairs.select(F.col("b").alias("node"), F.col("a").alias("other"))
+    """``(a, b, jaccard)`` of the pairs ``(a, b, na, nb)`` that reach the threshold on whole sets."""
+    pairs = cut(pairs.distinct())
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), F.col("na").alias("size")).unionAll(
+        pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), F.col("nb").alias("size"))
     )
-    home = ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("home"))
-    rank = F.row_number().over(Window.partitionBy("home").orderBy("node"))
-    placed = cut(home.withColumn("block", F.struct("home", F.floor((rank - 1) / BLOCK).alias("part"))).select("node", "block"))
+    home = cut(ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("home"), F.max("size").alias("size")))
+    parts = home.groupBy("home").agg(F.ceil(F.sum("size") / BLOCK_GRAMS).alias("parts"))
+    placed = cut(home.join(parts, "home").select("node", F.struct("home", F.expr("pmod(xxhash64(node), parts)").alias("part")).alias("block")))
     blocked = (
         pairs.join(placed.select(F.col("node").alias("a"), F.col("block").alias("ba")), "a")
         .join(placed.select(F.col("node").alias("b"), F.col("block").alias("bb")), "b")
@@ -294,7 +320,7 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, tex
     )
     held = members.join(sets, "node").groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("node", "grams"))).alias("sets"))
     asked = blocked.groupBy("g").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    each = asked.join(held, "g").select("sets", F.explode("pairs").alias("p")).select(
+    each = asked.join(held.hint("merge"), "g").select("sets", F.explode("pairs").alias("p")).select(
         F.col("p.a").alias("a"), F.col("p.b").alias("b"),
         F.element_at("sets", F.col("p.a")).alias("x"), F.element_at("sets", F.col("p.b")).alias("y"),
     )
@@ -342,11 +368,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class: the one of least id."""
+    """``docs`` with one document of each class, the one of least id; rows with a null id all stay."""
     found = near_duplicates(docs, id_col, text_col, **options)
     first = found.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_first")).distinct()
-    kept = docs.join(first, F.col(id_col) == F.col("_first"), "left_semi")
-    return kept.dropDuplicates([id_col])
+    kept = docs.join(first, F.col(id_col) == F.col("_first"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,9 +148,9 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
         degree[b] += 1
         a, b = sorted((root(a), root(b)))
         parent[b] = a
-    for block in (jaccard.BLOCK, 3):  # small blocks split every group
-        monkeypatch.setattr(jaccard, "BLOCK", block)
-        monkeypatch.setattr(jaccard, "BUCKET_BLOCK", block)
+    for bucket, grams in ((jaccard.BUCKET_BLOCK, jaccard.BLOCK_GRAMS), (3, 200)):  # small blocks split every group
+        monkeypatch.setattr(jaccard, "BLOCK_GRAMS", grams)
+        monkeypatch.setattr(jaccard, "BUCKET_BLOCK", bucket)
         found = {r["doc_id"]: r for r in jaccard.near_duplicates(docs(spark, *[t for _, t in texts])).collect()}
         assert {i: r["n_links"] for i, r in found.items()} == degree
         assert {i: r["class_id"] for i, r in found.items()} == {i: root(i) for i in parent}
@@ -192,6 +192,17 @@ def test_keep_one_drops_copies_and_repeated_rows(spark):
     kept = jaccard.keep_one(d)
     assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
     assert jaccard.keep_one(d.limit(0)).count() == 0
+    # a null id passes, and one id with two texts stays whole
+    odd = d.unionAll(spark.createDataFrame([(None, "a b c d e f", "x", "y"), (3, "other words here now", "x", "y")], DOCS))
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in jaccard.keep_one(odd).collect())
+    assert kept == [(0, "a b c d e f"), (1, "a b c d e f"), (3, "other words here now"), (3, "x y z")]
+
+
+def test_a_long_text_and_its_near_copy_link(spark):
+    words = [f"w{i % 5003}x{i}" for i in range(60_000)]
+    changed = [w if i % 50 else "changed" for i, w in enumerate(words)]
+    found = jaccard.near_duplicates(docs(spark, " ".join(words), " ".join(changed), "short one")).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found} == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
 
 
 # --- surrogates
