@@ -77,16 +77,16 @@ def _half() -> Column:
 _TOKENS = r"""
 cut AS (SELECT {pk} AS pk, {ord} AS ord, {cols} regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+') AS parts FROM {table}),
 raw AS (SELECT pk, ord, unnest(parts) AS surface, unnest(range(len(parts))) AS p FROM cut),
-tok AS (SELECT pk, ord, surface, row_number() OVER (PARTITION BY pk ORDER BY min(p)) - 1 AS pos
+tok AS MATERIALIZED (SELECT pk, ord, surface, row_number() OVER (PARTITION BY pk ORDER BY min(p)) - 1 AS pos
   FROM raw WHERE surface <> '' GROUP BY pk, ord, surface)"""
 _DOC = _TOKENS.format(pk="CAST(doc_id AS VARCHAR)", ord="doc_id", cols="", table="documents")
 _CONV = _TOKENS.format(pk="conv_id || '|' || turn", ord="conv_id || '|' || turn", cols="", table="conversations")
 _GRAPH = """
-entity AS (SELECT row_number() OVER (ORDER BY min(row(ord, pos))) AS entity_id, surface FROM tok GROUP BY surface),
-mention AS (SELECT e.entity_id, t.pk, t.pos, t.surface FROM tok t JOIN entity e USING (surface)),
+entity AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(row(ord, pos))) AS entity_id, surface FROM tok GROUP BY surface),
+mention AS MATERIALIZED (SELECT e.entity_id, t.pk, t.pos, t.surface FROM tok t JOIN entity e USING (surface)),
 near AS (SELECT pk, entity_id AS a, lead(entity_id) OVER (PARTITION BY pk ORDER BY pos) AS b FROM mention),
-support AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst, pk FROM near WHERE b IS NOT NULL AND a <> b),
-edge AS (SELECT row_number() OVER (ORDER BY src, dst) AS edge_id, src, dst FROM (SELECT DISTINCT src, dst FROM support))"""
+support AS MATERIALIZED (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst, pk FROM near WHERE b IS NOT NULL AND a <> b),
+edge AS MATERIALIZED (SELECT row_number() OVER (ORDER BY src, dst) AS edge_id, src, dst FROM (SELECT DISTINCT src, dst FROM support))"""
 _KEYS = r"""
 word AS (SELECT norm, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (
   SELECT norm, list_filter(regexp_split_to_array(norm, '[^\p{L}]+'), lambda x: x <> '') AS ws FROM names)),
@@ -298,7 +298,7 @@ def typed_edges(spark: SparkSession, d: str) -> DataFrame:
 
 # --- visibility
 
-_SEEN = "seen AS (SELECT CAST(doc_id AS VARCHAR) AS pk FROM documents WHERE {rule})"
+_SEEN = "seen AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS pk FROM documents WHERE {rule})"
 _SRC0, _HALF_SQL = _SEEN.format(rule="source = 'src0'"), _SEEN.format(rule="CAST(source[4:] AS INTEGER) < 10")
 _NAMED = "SELECT e.edge_id, s.surface AS src, o.surface AS dst, 'co_mentioned' AS predicate FROM edge e JOIN entity s ON s.entity_id = e.src JOIN entity o ON o.entity_id = e.dst"
 
@@ -329,7 +329,7 @@ def edges_intersection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_register(
-    f"WITH {_DOC}, {_GRAPH}, seen AS (SELECT CAST(doc_id AS VARCHAR) AS pk FROM documents WHERE source = 'src0' OR doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) "
+    f"WITH {_DOC}, {_GRAPH}, seen AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS pk FROM documents WHERE source = 'src0' OR doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) "
     f"{_NAMED} WHERE EXISTS (SELECT 1 FROM support u JOIN seen USING (pk) WHERE u.src = e.src AND u.dst = e.dst)"
 )
 def edges_visible_shared(spark: SparkSession, d: str) -> DataFrame:
@@ -342,7 +342,7 @@ def edges_visible_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_register(
-    f"{_NAMES}, {_GRAPH}, {_KEYS}, seen AS (SELECT conv_id || '|' || turn AS pk FROM conversations WHERE role = 'system'), "
+    f"{_NAMES}, {_GRAPH}, {_KEYS}, seen AS MATERIALIZED (SELECT conv_id || '|' || turn AS pk FROM conversations WHERE role = 'system'), "
     "vis AS (SELECT DISTINCT entity_id FROM mention JOIN seen USING (pk)), "
     "k AS (SELECT e.entity_id, e.surface, key FROM entity e JOIN vis USING (entity_id) JOIN keyed ON norm = e.surface) "
     "SELECT DISTINCT a.entity_id AS entity_a, a.surface AS surface_a, b.entity_id AS entity_b, b.surface AS surface_b FROM k a JOIN k b ON a.key = b.key AND a.entity_id < b.entity_id"
