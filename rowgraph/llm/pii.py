@@ -20,10 +20,17 @@ has one surrogate in every document:
 
 What is no bijection is checked: the distinct mail addresses, surnames and whole
 names of the whole input are grouped by surrogate, and all but the least of those that share one (or that
-meet a real entity) are drawn again until none does; given names grow by a syllable
-with each draw.  The few drawn again, and those whose gender another mention tells,
+meet a real entity) are drawn again until none does; names grow by a syllable
+with each draw, so that no pool runs out.  The few drawn again, and those whose gender another mention tells,
 travel to their own documents by a join on the id.
 
+The key is the caller's secret: who knows it can undo the bijections.  There is
+no default; the registered query takes it from ``spark.rowgraph.pii.key`` and,
+where that is unset, uses a public demonstration key.
+
+Only what has a form is found: names need a title.  Patterns hold no group that
+recurses with the length of a text.
+
 Defined results: a null text stays null, an empty one empty; documents without
 an entity are unchanged; repeated rows get the same text; other columns pass
 through, and helper columns carry a prefix that no table should use (``_pii``).
@@ -44,7 +51,7 @@ _FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mme",
 _EITHER = ["Dr", "Prof"]
 _TITLES = "|".join(sorted(_MALE + _FEMALE + _EITHER, key=len, reverse=True))
 
-_MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+_MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 _IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)"
@@ -57,8 +64,9 @@ _SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)"
 _CARD = r"(?<![\p{L}\p{N}.-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}]|[.-]\d)"
 _NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}[\p{{Ll}}\p{{M}}'’-]+(?: \p{{Lu}}[\p{{Ll}}\p{{M}}'’-]+){{0,2}}"
 
-#: What is looked for; the first alternative that matches at a place wins.
-ENTITY = "|".join(f"(?:{p})" for p in (_MAIL, _PHONE, _IP, _SSN, _CARD, _IBAN, _NAME))
+#: What is looked for; the first alternative that matches at a place wins.  No alternative
+#: begins within a word, which the first test says once for all of them.
+ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in (_MAIL, _PHONE, _IP, _SSN, _CARD, _IBAN, _NAME)) + ")"
 
 #: The country codes of E.164: of one digit, of two, the rest of three.
 _COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
@@ -174,7 +182,7 @@ def _given(digest: Column, gender: Column, script: Column) -> Column:
 def _more(digest: Column, script: Column, attempt: Column) -> Column:
     """A syllable for each draw after the first, six at most."""
     def made(s: str) -> Column:
-        return F.concat(*[F.when(attempt >= k, _pick(_SYLLABLES[s], digest, k)).otherwise("") for k in range(1, 7)])
+        return F.concat(*[F.when(attempt >= k, _pick(_SYLLABLES[s], digest, 20 + k)).otherwise("") for k in range(1, 7)])
 
     return F.when(script == "cyrillic", made("cyrillic")).otherwise(made("latin"))
 
@@ -252,7 +260,7 @@ def drawn(key: str, kind: Column, canon: Column, attempt: Column, gender: Column
     d = _digest(key, kind, canon, attempt.cast("string"))
     made = F.when(
         kind == "mail", let(d, lambda d: F.concat(_letters(d, 16), F.lit("@mail.example.org")))
-    ).otherwise(let(d, lambda d: _surname(d, _script(canon))))
+    ).otherwise(let(d, lambda d: F.concat(_surname(d, _script(canon)), _more(d, _script(canon), attempt))))
     if gender is None:
         return made
     words = F.split(canon, " ")
@@ -339,9 +347,11 @@ def _redraw(docs: DataFrame, key: str, text_col: str, id_col: str) -> DataFrame
 
 
 def replace_entities(
-    docs: DataFrame, key: str = "rowgraph", text_col: str = "text", id_col: str = "doc_id", count_col: str | None = None
+    docs: DataFrame, key: str, text_col: str = "text", id_col: str = "doc_id", count_col: str | None = None
 ) -> DataFrame:
     """``docs`` with the entities of ``text_col`` replaced; ``count_col`` adds how many."""
+    if not key:
+        raise ValueError("a key is needed")
     columns = docs.columns
     moved = _redraw(docs, key, text_col, id_col)
     if moved is not None:
@@ -357,6 +367,11 @@ def replace_entities(
     return found.select(*out)
 
 
+def key_of(spark: SparkSession) -> str:
+    """The session's secret, or a public key good for demonstrations only."""
+    return spark.conf.get("spark.rowgraph.pii.key", None) or "demonstration"
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return replace_entities(docs, count_col="n_entities")
+    return replace_entities(docs, key_of(spark), count_col="n_entities")

@@ -207,6 +207,8 @@ def test_a_long_text_and_its_near_copy_link(spark):
 
 # --- surrogates
 
+KEY = "a test's own key"
+
 
 def test_surrogates_keep_type_and_identity(spark):
     texts = [
@@ -216,7 +218,7 @@ def test_surrogates_keep_type_and_identity(spark):
         "",
         "nothing here, 3.14 and 1.2.3 and 24be64439e3e49cf46b2d7c90f3602a3d0b907ff",
     ]
-    rows = pii.replace_entities(docs(spark, *texts), count_col="n").orderBy("doc_id").collect()
+    rows = pii.replace_entities(docs(spark, *texts), KEY, count_col="n").orderBy("doc_id").collect()
     a, b = rows[0]["text"], rows[1]["text"]
     for secret in ("286", "555-5136", "a.b@", "A.B@", "152.143.123.131", "4111 1111", "123-45-6789"):
         assert secret not in a
@@ -234,11 +236,11 @@ def test_surrogates_keep_type_and_identity(spark):
 
 def test_distinct_entities_stay_distinct(spark, monkeypatch):
     phones = [f"+1 (286) 555-{i:04d}" for i in range(300)]
-    assert len({r["text"] for r in pii.replace_entities(docs(spark, *phones)).collect()}) == 300
+    assert len({r["text"] for r in pii.replace_entities(docs(spark, *phones), KEY).collect()}) == 300
     # a pool of 16 one-letter mail names forces draws again
     monkeypatch.setattr(pii, "_letters", lambda d, many: F.translate(F.substring(d, 1, 1), "0123456789abcdef", "abcdefghijklmnop"))
     mails = [f"user{i}@x.com" for i in range(9)]
-    assert len({r["text"] for r in pii.replace_entities(docs(spark, *mails)).collect()}) == 9
+    assert len({r["text"] for r in pii.replace_entities(docs(spark, *mails), KEY).collect()}) == 9
 
 
 def test_names_and_phones_keep_and_tell_apart(spark):
@@ -246,7 +248,7 @@ def test_names_and_phones_keep_and_tell_apart(spark):
     texts = [f"Ms. {g} Weber" for g in given]
     texts += ["Dr. Anna Weber", "Ms. Weber and Prof. Berta Weber", "Dr. Kim Lang", "г-жа Анна Петрова; Prof. Анна Петрова"]
     texts += ["+49123456789", "+49 123 456789", "+49-123-456789", "+1 2865555136", "+12865555136", "+491234567"]
-    out = [r["text"] for r in pii.replace_entities(docs(spark, *texts)).orderBy("doc_id").collect()]
+    out = [r["text"] for r in pii.replace_entities(docs(spark, *texts), KEY).orderBy("doc_id").collect()]
     women = out[: len(given)]
     assert len(set(women)) == len(given)
     assert {w.split()[2] for w in women} == {women[0].split()[2]}
@@ -262,6 +264,33 @@ def test_names_and_phones_keep_and_tell_apart(spark):
     assert phones[0].startswith("+49") and phones[3].startswith("+1") and out[at + 5][3] == " " and out[at + 6][7] == "-"
 
 
+def test_ten_thousand_entities_stay_distinct_and_themselves(spark):
+    surnames = [a + b + c for a in ("Ba", "Ke", "Lo", "Mi", "Na", "Ru", "So", "Ti", "Wa", "Ze") for b in ("ck", "ld", "mm", "nn", "rt") for c in ("er", "en", "mann", "berg", "hof")]
+    given = [a + b for a in ("An", "Be", "Cla", "Do", "Em", "Fri", "Ge", "Han") for b in ("na", "rta", "ra", "lla", "mi")]
+    names = [f"{g} {s}" for s in surnames for g in given][:4000]
+    mails = [f"user{i}@host{i % 7}.example.net" for i in range(3000)]
+    phones = [f"+49 30 {i:07d}" for i in range(3000)]
+    rows = [(i, t) for i, t in enumerate([f"Dr. {x}" for x in names] + mails + phones)]
+    rows += [(10_000 + i, t) for i, t in rows]  # every entity in two documents
+    out = {r["doc_id"]: r["text"] for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    assert all(out[i] == out[10_000 + i] != rows[i][1] for i in range(10_000))
+    assert len({out[i] for i in range(10_000)}) == 10_000
+    by = {}
+    for i, n in enumerate(names):
+        by.setdefault(n.split()[1], set()).add(out[i].split()[-1])
+    assert all(len(v) == 1 for v in by.values()) and len(set.union(*by.values())) == len(by)
+
+
+def test_very_long_texts_without_recursion(spark):
+    texts = ["mail a@b" + ".c" * 500_000, "1" * 1_000_000, "1 " * 500_000, "Dr. A" + "a" * 500_000, "a" * 1_000_000 + "@b.cd", "GB12 " + "ABCD " * 200_000, "+1" + "-22" * 300_000]
+    out = [r["text"] for r in pii.replace_entities(docs(spark, *texts, *texts), KEY).orderBy("doc_id").collect()]
+    assert out[: len(texts)] == out[len(texts) :]
+    assert "a@b" not in out[0] and out[1] == texts[1] and len(out[4]) < 100
+    assert pii.replace_entities(docs(spark, "x").limit(0), KEY).count() == 0
+    with pytest.raises(ValueError):
+        pii.replace_entities(docs(spark, "x"), "")
+
+
 # --- secrets
 
 
