@@ -37,7 +37,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def with_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text(docs, pii.replace_entities(docs), "text")
+    return _with_text(docs, pii.replace_entities(docs, pii.key_of(spark)), "text")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
