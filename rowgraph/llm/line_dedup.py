@@ -8,9 +8,12 @@ slot.  A second pass probes the arrays with the documents' line hashes; lines
 are never joined, and texts never leave the JVM.
 
 The shards are written as a table in the shared folder, so that a lost
-executor's work can be done again.  A worker reads the shards it needs, at
-most ``SHARDS_HELD`` at a time, and probes a whole batch of documents shard by
-shard.
+executor's work can be done again, and Spark hands that folder to the
+executors as files, from whatever file system it knows and also to an executor
+that joins later.  A worker maps the arrays of a shard into memory from its
+executor's copy, so workers share the pages, a shard is unpacked once an
+executor, and nothing is read again from batch to batch.  Every shard is
+written, an empty one too; one that is missing is an error.
 
 Only keys found in ``index_from`` documents or more get a slot.  A key below
 that can never be dropped, and the 64-bit fingerprint, from a hash independent
@@ -20,16 +23,19 @@ Defined results: a null or empty text is one empty line; a row is a document,
 so repeated rows count each for itself; a line's key is the line without
 ``[\\x20\\x09-\\x0D]`` at its ends and with A-Z lower-cased; empty keys are
 never counted.  Other columns pass through, but for those that share the name
-of a result (replaced) and ``_lines``, ``_keys``, ``_hit``, ``_dropped``.
+of a result (replaced; ``names`` gives the results other names); helper columns
+carry a prefix that no table should use (``_line_dedup``).
 """
 
 from __future__ import annotations
 
+import os
 import uuid
-from collections import OrderedDict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +43,6 @@ from rowgraph.runtime import ensure_checkpoint_dir, ship_package
 
 #: Keys a shard has on average; a shard's arrays take 12 bytes a key and its displacements about one.
 KEYS_PER_SHARD = 200_000
-#: Shards a worker holds in memory at once.
-SHARDS_HELD = 8
 #: Keys a bucket has on average while displacements are searched.
 BUCKET = 4
 
@@ -115,6 +119,7 @@ _SHARD = "shard long, n long, displacements binary, fingerprints binary, counts
 
 
 def _build_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows[rows["n"] > 0]  # each shard has a row of its own without a key
     words = rows["h"].to_numpy(np.int64).view(np.uint64)
     table = PerfectHash.build(words)
     slots = table.slots(words)
@@ -131,33 +136,37 @@ def _build_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+_PARTS = {"displacements": np.uint32, "fingerprints": np.int64, "counts": np.uint32}
+
+
 class Shards:
-    """Reads shards on demand from the shared folder and keeps the last few."""
+    """The shards that Spark has handed to this executor, mapped into memory on demand."""
 
     def __init__(self, folder: str, shards: int):
         self.folder, self.shards = folder, shards
-        self._held: OrderedDict[int, tuple | None] = OrderedDict()
+        self._held: dict[int, tuple] = {}
 
-    def _get(self, shard: int):
-        if shard in self._held:
-            self._held.move_to_end(shard)
-            return self._held[shard]
+    def _unpack(self, home: Path, shard: int) -> None:
         import pyarrow.dataset as ds
-        import pyarrow.fs as fs
-
-        where, path = fs.FileSystem.from_uri(f"{self.folder}/at={shard}")
-        value = None
-        if where.get_file_info(path).type != fs.FileType.NotFound:
-            for row in ds.dataset(path, filesystem=where, format="parquet").to_table().to_pylist():
-                value = (
-                    PerfectHash(row["n"], np.frombuffer(row["displacements"], np.uint32)),
-                    np.frombuffer(row["fingerprints"], np.int64),
-                    np.frombuffer(row["counts"], np.uint32),
-                )
-        self._held[shard] = value
-        if len(self._held) > SHARDS_HELD:
-            self._held.popitem(last=False)
-        return value
+
+        files = [str(p) for p in sorted(home.glob("*.parquet"))]
+        found = ds.dataset(files, format="parquet").to_table(filter=ds.field("shard") == shard).to_pylist() if files else []
+        if len(found) != 1:
+            raise FileNotFoundError(f"shard {shard} of {self.folder}: {len(found)} rows")
+        for name, kind in _PARTS.items():
+            # each worker writes its own file; the last rename of equal content wins
+            own = home / f"{shard}.{name}.{uuid.uuid4().hex}"
+            np.save(own, np.frombuffer(found[0][name], kind))
+            os.replace(f"{own}.npy", home / f"{shard}.{name}.npy")
+
+    def _get(self, shard: int) -> tuple:
+        if shard not in self._held:
+            home = Path(SparkFiles.get(self.folder))
+            if not (home / f"{shard}.{list(_PARTS)[-1]}.npy").exists():
+                self._unpack(home, shard)
+            displacements, prints, counts = (np.load(home / f"{shard}.{name}.npy", mmap_mode="r") for name in _PARTS)
+            self._held[shard] = PerfectHash(len(prints), displacements), prints, counts
+        return self._held[shard]
 
     def counts(self, h: np.ndarray, f: np.ndarray) -> np.ndarray:
         """The document counts of keys by their two hashes; 0 for keys without a slot."""
@@ -168,10 +177,9 @@ class Shards:
         for part in np.split(order, edges):
             if not len(part):
                 continue
-            found = self._get(int(where[part[0]]))
-            if found is None:
+            table, prints, counts = self._get(int(where[part[0]]))
+            if not table.n:
                 continue
-            table, prints, counts = found
             slots = table.slots(h[part].view(np.uint64))
             out[part] = np.where(prints[slots] == f[part], counts[slots], 0)
         return out
@@ -198,20 +206,16 @@ def index_lines(counted: DataFrame, index_from: int = 2) -> Shards:
     # a shard is one row of binary arrays; the number of shards follows the number of keys
     shards = max(1, -(-kept.count() // KEYS_PER_SHARD))
     shard = F.expr(f"cast(pmod(cast(h as decimal(20,0)) + if(h < 0, 18446744073709551616BD, 0BD), {shards}) as long)")
-    (
-        kept.withColumn("shard", shard)
-        .groupBy("shard")
-        .applyInPandas(_build_shard, _SHARD)
-        .withColumn("at", F.col("shard"))
-        .write.partitionBy("at")
-        .parquet(f"{folder}/shards")
-    )
-    uri = f"{folder}/shards"
-    return Shards(uri if "://" in uri else f"file://{uri}", shards)
+    zero = F.lit(0).cast("long")
+    each = spark.range(shards).select(zero.alias("h"), zero.alias("f"), zero.alias("n"), F.col("id").alias("shard"))
+    name = f"lines-{uuid.uuid4().hex}"
+    kept.withColumn("shard", shard).unionByName(each).groupBy("shard").applyInPandas(_build_shard, _SHARD).write.parquet(f"{folder}/{name}")
+    spark.sparkContext.addFile(f"{folder}/{name}", recursive=True)
+    return Shards(name, shards)
 
 
 def probe(docs: DataFrame, shards: Shards, min_docs: int, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_lines`` (array of text) and ``_dropped`` (array of flags)."""
+    """``docs`` with ``_line_dedup``: an array of the lines and whether each goes."""
     ship_package(docs.sparkSession)
 
     @F.pandas_udf("array<boolean>")
@@ -222,32 +226,35 @@ def probe(docs: DataFrame, shards: Shards, min_docs: int, text_col: str = "text"
         flags = shards.counts(np.concatenate(h.to_list()).astype(np.int64), np.concatenate(f.to_list()).astype(np.int64)) >= min_docs
         return pd.Series(np.split(flags, np.cumsum(sizes)[:-1]))
 
-    lines = docs.withColumn("_lines", lines_of(F.col(text_col)))
-    keyed = lines.withColumn("_keys", F.transform("_lines", key_of))
+    lines = docs.withColumn("_line_dedup_lines", lines_of(F.col(text_col)))
+    keyed = lines.withColumn("_line_dedup_keys", F.transform("_line_dedup_lines", key_of))
     hashed = keyed.withColumn(
-        "_hit",
-        frequent(F.transform("_keys", lambda k: _hash(k, 0)), F.transform("_keys", lambda k: _hash(k, 1))),
+        "_line_dedup_hit",
+        frequent(F.transform("_line_dedup_keys", lambda k: _hash(k, 0)), F.transform("_line_dedup_keys", lambda k: _hash(k, 1))),
     )
     # an empty key has no slot, but says so here for every input
-    flags = F.zip_with("_hit", "_keys", lambda hit, k: hit & (k != ""))
-    return hashed.withColumn("_dropped", flags).drop("_keys", "_hit")
+    flags = F.zip_with("_line_dedup_hit", "_line_dedup_keys", lambda hit, k: hit & (k != ""))
+    made = F.zip_with("_line_dedup_lines", flags, lambda line, gone: F.struct(line.alias("line"), gone.alias("gone")))
+    return hashed.withColumn("_line_dedup", made).drop("_line_dedup_lines", "_line_dedup_keys", "_line_dedup_hit")
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` added.
+def drop_frequent_lines(
+    docs: DataFrame, min_docs: int = 10, text_col: str = "text", names: tuple[str, str, str] = ("kept_text", "n_lines", "n_dropped")
+) -> DataFrame:
+    """``docs`` with the kept text, the number of lines and that of those dropped added.
 
     Lines whose key is in ``min_docs`` documents or more go from all documents;
     the others stay in order, joined by a newline.
     """
     shards = index_lines(count_lines(docs, text_col), index_from=min_docs)
     found = probe(docs, shards, min_docs, text_col)
-    kept = F.filter(F.arrays_zip("_lines", "_dropped"), lambda x: ~x["_dropped"])
-    made = {
-        "kept_text": F.array_join(F.transform(kept, lambda x: x["_lines"]), "\n"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dropped": F.size(F.filter("_dropped", lambda d: d)).cast("long"),
-    }
-    return found.select(*[F.col(c) for c in docs.columns if c not in made], *[v.alias(k) for k, v in made.items()])
+    kept = F.filter("_line_dedup", lambda x: ~x["gone"])
+    values = (
+        F.array_join(F.transform(kept, lambda x: x["line"]), "\n"),
+        F.size("_line_dedup").cast("long"),
+        F.size(F.filter("_line_dedup", lambda x: x["gone"])).cast("long"),
+    )
+    return found.select(*[F.col(c) for c in docs.columns if c not in names], *[v.alias(k) for k, v in zip(names, values)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,22 @@ def test_frequent_lines_go(spark):
     assert line_dedup.drop_frequent_lines(docs(spark, "a").limit(0)).count() == 0
 
 
+def test_many_shards_and_a_missing_one(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 4)
+    often = [f"line {i}" for i in range(120)]
+    d = spark.createDataFrame([(i, "\n".join(often[i % 3 :: 2] + [f"own {i}"]), 77) for i in range(60)], "doc_id long, text string, n_lines long")
+    shards = line_dedup.index_lines(line_dedup.count_lines(d), 10)
+    assert shards.shards >= 20
+    found = line_dedup.drop_frequent_lines(d, names=("t", "a", "b")).collect()
+    assert {r["doc_id"]: r["t"] for r in found} == {i: f"own {i}" for i in range(60)} and {r["n_lines"] for r in found} == {77}
+    import numpy as np
+
+    words = np.arange(100, dtype=np.int64)
+    assert not shards.counts(words, words).any()
+    with pytest.raises(FileNotFoundError):
+        line_dedup.Shards("nowhere", 3).counts(words, words)
+
+
 # --- n-gram Jaccard
 
 
