@@ -19,7 +19,10 @@ from rowgraph.runtime import ensure_checkpoint_dir
 
 
 def _with_text(docs: DataFrame, made: DataFrame, text: str) -> DataFrame:
-    new = {"text": F.col(text), "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}
+    """The columns of ``docs`` from ``made``, with ``text`` as the text and its length, if there is one, after it."""
+    new = {"text": F.col(text)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
     return made.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
@@ -29,7 +32,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text(docs, line_dedup.drop_frequent_lines(docs), "kept_text")
+    names = ("_line_dedup_text", "_line_dedup_n", "_line_dedup_gone")
+    return _with_text(docs, line_dedup.drop_frequent_lines(docs, names=names), names[0])
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
