@@ -11,8 +11,8 @@ fitted to a sample loses neighbours where the sample is unlike the whole.
 Pivots are a bounded sample (``pivots`` vectors of least id hash); every row
 is posted.  Files with many vectors or many queries are split into blocks, and
 a task holds one block of each, so no file is gathered whole.  A query that
-finds fewer than ``k`` goes to all files.  Up to ``EXACT`` vectors all files
-are opened, which is exact.
+finds fewer than ``k`` goes to all files.  It is the same at every size;
+``exact=True`` opens all files for all queries.
 
 Defined results: ranks start at 1, ties go to the smaller id; a query's own id
 is no candidate; with fewer candidates than ``k`` all are returned; vectors
@@ -34,7 +34,6 @@ from rowgraph.runtime import cut, ship_package
 
 VECTORS_A_BLOCK = 4096
 QUERIES_A_BLOCK = 1024
-EXACT = 4000
 
 
 class Index:
@@ -124,13 +123,14 @@ def _search(vectors: DataFrame, queries: DataFrame, index: Index, k: int, all_fi
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _fit(vectors: DataFrame, pivots: int, post: int, probe: int, calibrate: int) -> Index:
-    """Pivots from a bounded sample."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(calibrate).collect()
+def _fit(vectors: DataFrame, pivots: int, post: int, probe: int) -> Index:
+    """Pivots from a bounded sample: vectors of least hash, of the greatest length among them."""
+    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(8 * pivots).collect()
     most = max((len(r["v"]) for r in rows), default=0)
     x = np.array([r["v"] for r in rows if len(r["v"]) == most], dtype=np.float64)
     unit = x / np.linalg.norm(x, axis=1)[:, None] if len(x) else np.zeros((0, 1))
-    return Index(unit[:pivots], post, probe)
+    unit = unit[:pivots]
+    return Index(unit, min(post, len(unit)), min(probe, len(unit)))
 
 
 def nearest(
@@ -142,19 +142,17 @@ def nearest(
     pivots: int = 64,
     post: int = 14,
     probe: int = 14,
-    calibrate: int = 4000,
+    exact: bool = False,
 ) -> DataFrame:
     """Rows ``(query_id, rank, vec_id, score)`` for the rows that ``is_query`` picks."""
     ship_package(table.sparkSession)
     good = clean(table, id_col, vector_col).withColumn("id", F.col("id").cast("long"))
     asks = clean(table.filter(is_query), id_col, vector_col).withColumn("id", F.col("id").cast("long")).dropDuplicates(["id"])
-    n = good.count()
-    index = _fit(good, pivots, post, probe, calibrate)
+    index = _fit(good, pivots, post, probe)
     if not len(index.pivots):
         return good.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     same = F.size("v") == index.pivots.shape[1]
     good, asks = good.filter(same), asks.filter(same)
-    exact = n <= EXACT
     found = _search(good, asks, index, k, all_files=exact)
     if not exact:
         found = cut(found)

@@ -31,10 +31,13 @@ CAPACITIES = (512, 1024, 2048, 4096)
 GROUP = 50_000
 #: Tokens that a bin costs beyond its length.
 OVERHEAD = 16
+#: The length at which attention, quadratic in it, costs as much as all that is linear.
+QUADRATIC_FROM = 8192
 
 
 def default_cost(capacity: int) -> float:
-    return capacity + OVERHEAD
+    """What a training step pays for a sequence: its length, attention over it, and a fixed part."""
+    return capacity + capacity * capacity / QUADRATIC_FROM + OVERHEAD
 
 
 def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, cost: Callable[[int], float] = default_cost):

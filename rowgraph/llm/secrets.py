@@ -1,7 +1,7 @@
 """Secret scanning with inferred grammars.
 
 Three fixed patterns give the base spans.  Beyond them, every candidate run
-``[A-Za-z0-9+/_.=-]{16,}`` that no base span touches is scored by probabilistic
+``[A-Za-z0-9+/_.=-]{16,}`` but for those that a base span holds whole is scored by probabilistic
 automata: from labelled credentials, kind by kind, a prefix tree is built and
 its statistically compatible states are merged (red-blue order, Hoeffding
 bound), and the same is done for ordinary strings.  The score is the greatest
@@ -229,10 +229,14 @@ class Grammars:
         return max(a.log_likelihood(s) - base for a in self.kinds.values()) / (len(s) + 1)
 
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        out = []
+        out, at, reach = [], 0, 0
         for m in _CANDIDATE.finditer(text):
             a, b = m.span()
-            if any(x < b and a < y for x, _, y in base):
+            # both are sorted: how far the base spans that begin no later reach
+            while at < len(base) and base[at][0] <= a:
+                reach = max(reach, base[at][2])
+                at += 1
+            if reach >= b:
                 continue
             if self.score(m.group()) >= self.threshold:
                 out.append((a, 3, b))

@@ -4,10 +4,12 @@ A text is its words, lower-cased and hashed.  Of the suffixes only those at
 minimiser positions are kept: in every stretch of ``min_words`` words the
 leftmost 8-gram of least hash, a choice that depends on the content alone, so
 the same passage keeps the same suffixes in every document.  Kept suffixes are
-sorted by content and compared with their neighbours; a match is extended left
-and right within the stretches that chose the position.  Each stretch belongs
-to one kept position, and travels as 32 bits beside the 64 of its 8-gram and
-its place relative to it, so what is shuffled is about four bytes a word.
+sorted by their 8-gram and compared with their neighbours.  How far a match
+reaches to the left and right is read off hashes instead of words: every
+stretch that chose a position travels beside it, as 64 bits and its place, and
+neighbours in the order of 8-gram, place and hash that agree in all three are
+one passage, 128 bits and the place; stretches that follow each other join up.
+Shipping the words themselves would be over three times as much.
 
 Result: one row per document that shares a passage of ``min_words`` words or
 more with another document: the maximal word spans (end exclusive), how many
@@ -15,7 +17,8 @@ words they cover, and the spans and words that repeat a document of smaller id
 (those to remove if the first occurrence is to stay).
 
 An 8-gram kept more than ``HOT`` times is split by the hash of its stretches,
-so equal stretches still meet while no task holds the whole of it.
+so equal stretches still meet while no task holds the whole of it.  A task
+takes its sorted 8-grams in portions of about ``PORTION`` stretches.
 
 Defined results: null, empty and short texts have no span; repetition within
 one document, or within rows of the same id, does not count; a row with a null
@@ -36,6 +39,8 @@ HOT = 20_000
 #: Hot 8-grams that may be broadcast (12 bytes each).
 HOT_BROADCAST = 10_000
 CHUNK = 1_000_000
+#: Stretches compared at once, some 100 bytes each; one part of an 8-gram stays whole.
+PORTION = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -82,13 +87,13 @@ def kept_suffixes(words: np.ndarray, starts: np.ndarray, min_words: int):
     n = len(words)
     none = np.zeros(0, np.int64)
     if n < min_words:
-        return none.view(np.uint64), none, none, none, np.zeros(1, np.int64), none.astype(np.int32)
+        return none.view(np.uint64), none, none, none, np.zeros(1, np.int64), none
     roller = Roller(words)
     grams, stretches = roller.hashes(GRAM), roller.hashes(min_words)
     text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     first = np.flatnonzero(np.arange(n - min_words + 1) + min_words <= starts[1:][text[: n - min_words + 1]])
     if not len(first):
-        return none.view(np.uint64), none, none, none, np.zeros(1, np.int64), none.astype(np.int32)
+        return none.view(np.uint64), none, none, none, np.zeros(1, np.int64), none
     width = min_words - GRAM + 1
     # least value over each width by doubling, then the leftmost place that has it
     least, span = grams.copy(), 1
@@ -110,11 +115,11 @@ def kept_suffixes(words: np.ndarray, starts: np.ndarray, min_words: int):
         begin - starts[text[begin]],
         at[runs] - begin,
         np.append(runs, len(first)),
-        (stretches[first] >> np.uint64(32)).astype(np.uint32).view(np.int32),
+        stretches[first].view(np.int64),
     )
 
 
-_KEPT = "gram long, id long, begin int, lead int, stretches array<int>"
+_KEPT = "gram long, id long, begin int, lead int, stretches array<long>"
 
 
 def _keep(docs: DataFrame, min_words: int, grams_only: bool = False) -> DataFrame:
@@ -139,15 +144,37 @@ def _keep(docs: DataFrame, min_words: int, grams_only: bool = False) -> DataFram
     return docs.mapInArrow(run, "gram long" if grams_only else _KEPT)
 
 
-def _repeated(batches, min_words: int):
-    """Spans from the stretches of one partition: sort, compare neighbours, join up."""
-    table = pa.Table.from_batches([b for b in batches if b.num_rows], schema=None) if batches else None
-    if table is None or not table.num_rows:
-        return
+def _portions(batches):
+    """Tables of whole 8-gram parts from sorted batches, of about ``PORTION`` stretches each."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        gram, part = batch.column("gram").to_numpy(), batch.column("part").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])]))
+        sizes = np.asarray(batch.column("stretches").offsets).astype(np.int64)
+        at = 0
+        for cut_at in starts:
+            if cut_at:
+                size += int(sizes[cut_at] - sizes[at])
+                held.append(batch.slice(at, cut_at - at))
+                at = cut_at
+            new = not held or (gram[cut_at], part[cut_at]) != tuple(held[-1].column(c)[-1].as_py() for c in ("gram", "part"))
+            if new and size >= PORTION:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+        size += int(sizes[batch.num_rows] - sizes[at])
+        held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _repeated(table: pa.Table, min_words: int):
+    """Spans from whole 8-grams: sort, compare neighbours, join up."""
     table = table.combine_chunks()
     lists = table.column("stretches").chunk(0)
     offsets = np.asarray(lists.offsets).astype(np.int64)
-    hashes = np.asarray(lists.flatten()).view(np.uint32).astype(np.uint64)
+    hashes = np.asarray(lists.flatten()).view(np.uint64)
     row = np.repeat(np.arange(table.num_rows), np.diff(offsets))
     # stretches of a row follow each other unless their places are named
     places = np.arange(len(row)) - (offsets[:-1] - offsets[0])[row]
@@ -157,10 +184,10 @@ def _repeated(batches, min_words: int):
     ids, begin = table.column("id").to_numpy()[row], table.column("begin").to_numpy()[row] + places
     rel = (table.column("lead").to_numpy()[row] - places).astype(np.uint64)
     with np.errstate(over="ignore"):
-        key = _mix(gram + _mix(hashes << np.uint64(32) | rel))
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        where = _mix(gram + _mix(rel))
+    order = np.lexsort((hashes, where))
+    k, h = where[order], hashes[order]
+    heads = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]))
     low, high = np.minimum.reduceat(ids[order], heads), np.maximum.reduceat(ids[order], heads)
     sizes = np.diff(np.append(heads, len(k)))
     several, least = np.empty(len(k), bool), np.empty(len(k), np.int64)
@@ -178,19 +205,30 @@ def _repeated(batches, min_words: int):
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["id", "start", "stop", "later"])
 
 
-def _merged(spans: Column) -> Column:
-    """Sorted ``(start, stop)`` with those that touch or overlap joined."""
-    empty = F.array().cast("array<struct<start:int,stop:int>>")
+def _merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans in order, with those that touch or overlap joined."""
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(stop[order])
+    heads = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]])) if len(start) else np.zeros(0, np.int64)
+    return start[heads], reach[np.append(heads[1:], len(start)) - 1] if len(start) else reach
+
+
+_SPANS = "n_words long, spans array<struct<start:int,stop:int>>, later_words long, later_spans array<struct<start:int,stop:int>>"
 
-    def add(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        touches = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["stop"] >= s["start"])
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))
-        return F.when(touches, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(
-            F.concat(done, F.array(s))
-        )
 
-    return F.aggregate(F.sort_array(spans), empty, add)
+def _joined(batches):
+    """One row a document from all its spans."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    for batch in batches:
+        out = {"n_words": [], "spans": [], "later_words": [], "later_spans": []}
+        for found in batch.column("found"):
+            start, stop, later = (found.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop", "later"))
+            for words, spans, rows in (("n_words", "spans", slice(None)), ("later_words", "later_spans", later)):
+                a, b = _merged(start[rows], stop[rows])
+                out[words].append(int((b - a).sum()))
+                out[spans].append([{"start": x, "stop": y} for x, y in zip(a.tolist(), b.tolist())])
+        kinds = (pa.int64(), kind, pa.int64(), kind)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(v, t) for v, t in zip(out.values(), kinds)]], ["id", *out])
 
 
 def repeated_passages(
@@ -221,19 +259,12 @@ def repeated_passages(
         rows = rows.select("gram", "x.part", "id", "begin", "lead", "x.stretches", "x.places")
     else:
         rows = kept.select("gram", "id", "begin", "lead", whole.alias("x")).select("gram", "x.part", "id", "begin", "lead", "x.stretches", "x.places")
-    found = rows.repartition("gram", "part").mapInArrow(
-        lambda b: _repeated(list(b), min_words), "id long, start int, stop int, later boolean"
+    found = rows.repartition("gram", "part").sortWithinPartitions("gram", "part").mapInArrow(
+        lambda b: (x for t in _portions(b) for x in _repeated(t, min_words)), "id long, start int, stop int, later boolean"
     )
-    span = F.struct("start", "stop")
-    grouped = found.groupBy("id").agg(
-        F.collect_list(span).alias("all"), F.collect_list(F.when(F.col("later"), span)).alias("again")
-    )
-    made = grouped.select(F.col("id").alias(id_col), _merged(F.col("all")).alias("spans"), _merged(F.col("again")).alias("later_spans"))
-
-    def words(spans: str) -> Column:
-        return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + (s["stop"] - s["start"]))
-
-    return made.select(id_col, words("spans").alias("n_words"), "spans", words("later_spans").alias("later_words"), "later_spans")
+    grouped = found.groupBy("id").agg(F.collect_list(F.struct("start", "stop", "later")).alias("found"))
+    made = grouped.mapInArrow(_joined, f"id long, {_SPANS}")
+    return made.select(F.col("id").alias(id_col), "n_words", "spans", "later_words", "later_spans")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

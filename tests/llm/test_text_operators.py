@@ -338,6 +338,23 @@ def test_grammars_tell_credentials_from_words(spark):
     assert secrets.scan(d.limit(0), grammars).count() == 0
 
 
+def test_every_candidate_is_scored_in_linear_time():
+    import time
+
+    grammars = secrets.learn(60)
+    text = "key sk_live_0123456789abcdef01234567 there"
+    base = secrets.base_spans(text)
+    assert [k for _, k, _ in base] == [2] and [(4, 3, 36)] == grammars.spans(text, base)
+    took = []
+    for many in (2_000, 16_000):
+        text = " ".join(f"{i:032x}" for i in range(many))
+        base = secrets.base_spans(text)
+        began = time.perf_counter()
+        assert grammars.spans(text, base) == []
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * max(took[0], 1e-3)
+
+
 # --- quality
 
 
@@ -352,6 +369,11 @@ def test_ranking_learns_and_handles_odd_input(spark):
     assert all(found[i]["predicted"] == int(i <= 60) for i in range(1, 121))
     assert quality.keep_good(d, labels).columns == d.columns
     assert all(r["score"] == 0.5 for r in quality.score_documents(d, labels.limit(0)).collect())
+    assert quality.score_documents(d.limit(0), labels).count() == 0
+    # ten thousand rows of one labelled id train as one
+    many = d.unionAll(docs(spark, *["alpha beta"] * 10_000).withColumn("doc_id", F.lit(1).cast("long")))
+    again = quality.fit_ranker(many, labels)
+    assert quality.fit_ranker(many.orderBy(F.desc("text")), labels).weights.tolist() == again.weights.tolist()
 
 
 # --- packing
@@ -378,8 +400,36 @@ def test_packing_keeps_every_token(spark):
     assert packing.pack_documents(d.limit(0), F.lit(1)).count() == 0
 
 
+def test_packing_costs_little_more_than_the_optimum():
+    rng = random.Random(2)
+    sizes, opened, total, best = (8, 16, 32), set(), 0, 0
+
+    def optimum(items, bins=()):
+        if not items:
+            return sum(cost(next(c for c in sizes if c >= b)) for b in bins)
+        found = [optimum(items[1:], (*bins, items[0]))]
+        found += [optimum(items[1:], (*bins[:k], b + items[0], *bins[k + 1 :])) for k, b in enumerate(bins) if b + items[0] <= 32]
+        return min(found)
+
+    cost = lambda c: c + c * c / 64 + 1
+    for _ in range(60):
+        items = [rng.randint(1, 30) if rng.random() < 0.4 else rng.randint(1, 8) for _ in range(6)]
+        bins = packing.pack(items, sizes, cost)
+        opened |= {b[0] for b in bins}
+        total += sum(cost(b[0]) for b in bins)
+        best += optimum(tuple(items))
+    assert opened == set(sizes) and best <= total <= 1.15 * best
+
+
+def test_the_size_opened_follows_the_cost():
+    lengths = [60] * 200 + [3000] * 5
+    flat, steep = packing.pack(lengths, cost=lambda c: c + 16), packing.pack(lengths)
+    assert [sum(b[0] == 512 for b in bins) > 1 for bins in (flat, steep)] == [False, True]
+    assert sum(packing.default_cost(b[0]) for b in steep) < sum(packing.default_cost(b[0]) for b in flat)
+
+
 def test_packing_uses_the_least_room():
-    bins = packing.pack([600, 500, 400, 300, 120, 100], (512, 1024))
+    bins = packing.pack([600, 500, 400, 300, 120, 100], (512, 1024), lambda c: c + 16)
     assert sum(b[1] for b in bins) == 2020 and len(bins) == 2 and sorted(b[0] for b in bins) == [1024, 1024]
 
 
@@ -411,8 +461,33 @@ def test_passages_equal_brute_force(spark, monkeypatch):
                 cover |= set(range(k, k + 20))
         if cover:
             want[i] = len(cover)
-    for hot in (suffix_dedup.HOT, 1):
+    for hot, portion in ((suffix_dedup.HOT, suffix_dedup.PORTION), (1, 1)):
         monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        monkeypatch.setattr(suffix_dedup, "PORTION", portion)
         found = suffix_dedup.repeated_passages(docs(spark, *texts), min_words=20).collect()
         assert {r["doc_id"]: r["n_words"] for r in found} == want
     assert suffix_dedup.repeated_passages(docs(spark, "a").limit(0)).count() == 0
+
+
+def test_a_shared_8_gram_alone_is_no_passage(spark):
+    words = lambda a, b: F.transform(F.sequence(F.lit(a), F.lit(b)), lambda i: F.md5(F.concat_ws("-", "id", i)))
+    shared = F.array(*[F.lit(w) for w in "these eight words stand in every single text".split()])
+    d = spark.range(150_000).select(F.col("id").alias("doc_id"), F.array_join(F.concat(words(1, 45), shared, words(46, 90)), " ").alias("text"))
+    assert suffix_dedup.repeated_passages(d).count() == 0
+
+
+def test_spans_join_in_order():
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(300):
+        spans = [(a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 12)))]
+        a, b = suffix_dedup._merged(np.array([x for x, _ in spans], np.int32), np.array([y for _, y in spans], np.int32))
+        covered = {k for x, y in spans for k in range(x, y)}
+        assert sum(y - x for x, y in zip(a, b)) == len(covered) and all(x > y for x, y in zip(a[1:], b))
+
+
+def test_a_long_text_passes_whole(spark):
+    words = [f"w{i}" for i in range(200_000)]
+    found = suffix_dedup.repeated_passages(docs(spark, " ".join(words), " ".join(words[1000:150_000]), "x", None)).collect()
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in found} == {1: [(1000, 150_000)], 2: [(0, 149_000)]}

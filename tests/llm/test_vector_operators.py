@@ -66,7 +66,7 @@ def exact(x, queries, k):
 def test_small_tables_are_exact_with_ties(spark):
     x = np.round(np.random.default_rng(5).standard_normal((60, 8)), 1)
     x[10:14] = x[9]
-    found = ann.nearest(table(spark, list(x) + ODD), F.col("vec_id") % 5 == 0, k=7).orderBy("query_id", "rank").collect()
+    found = ann.nearest(table(spark, list(x) + ODD), F.col("vec_id") % 5 == 0, k=7, exact=True).orderBy("query_id", "rank").collect()
     got = {}
     for r in found:
         got.setdefault(r["query_id"], []).append(r["vec_id"])
@@ -76,8 +76,7 @@ def test_small_tables_are_exact_with_ties(spark):
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2, 3]
 
 
-def test_recall_beyond_the_exact_size(spark, monkeypatch):
-    monkeypatch.setattr(ann, "EXACT", 500)
+def test_recall_on_unclustered_vectors(spark):
     x = np.random.default_rng(6).standard_normal((3000, 32))
     found = ann.nearest(table(spark, list(x)), F.col("vec_id") % 50 == 0, k=10).collect()
     want = exact(x, range(0, 3000, 50), 10)
@@ -86,13 +85,12 @@ def test_recall_beyond_the_exact_size(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("copies", [1, 4])
-def test_recall_just_above_the_exact_size(spark, copies):
+def test_recall_on_clusters_and_copies(spark, copies):
     rng = np.random.default_rng(7)
     centres = rng.standard_normal((40, 64))
     base = centres[rng.integers(0, 40, 4500 // copies)] + 0.5 * rng.standard_normal((4500 // copies, 64))
     x = np.repeat(base, copies, axis=0) + 0.02 * rng.standard_normal((4500 // copies * copies, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    assert len(x) > ann.EXACT
     found = ann.nearest(table(spark, list(x)), F.col("vec_id") % 30 == 0).collect()
     want = exact(x, range(0, len(x), 30), 20)
     assert len(found) == 20 * len(want)
