@@ -8,8 +8,7 @@ slot.  A second pass probes the arrays with the documents' line hashes; lines
 are never joined, and texts never leave the JVM.
 
 The shards are written as a table in the shared folder, so that a lost
-executor's work can be done again, and Spark hands that folder to the
-executors as files, from whatever file system it knows and also to an executor
+executor's work can be done again, and Spark hands its files to the executors, from whatever file system it knows and also to an executor
 that joins later.  A worker maps the arrays of a shard into memory from its
 executor's copy, so workers share the pages, a shard is unpacked once an
 executor, and nothing is read again from batch to batch.  Every shard is
@@ -32,6 +31,7 @@ from __future__ import annotations
 import os
 import uuid
 from pathlib import Path
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -140,31 +140,33 @@ _PARTS = {"displacements": np.uint32, "fingerprints": np.int64, "counts": np.uin
 
 
 class Shards:
-    """The shards that Spark has handed to this executor, mapped into memory on demand."""
+    """The shards that Spark has handed to this executor, mapped into memory on demand.
 
-    def __init__(self, folder: str, shards: int):
-        self.folder, self.shards = folder, shards
+    ``files`` has the name of each shard's file.
+    """
+
+    def __init__(self, files: list[str]):
+        self.files, self.shards = files, len(files)
         self._held: dict[int, tuple] = {}
 
-    def _unpack(self, home: Path, shard: int) -> None:
-        import pyarrow.dataset as ds
+    def _unpack(self, file: Path, shard: int) -> None:
+        import pyarrow.parquet as pq
 
-        files = [str(p) for p in sorted(home.glob("*.parquet"))]
-        found = ds.dataset(files, format="parquet").to_table(filter=ds.field("shard") == shard).to_pylist() if files else []
+        found = pq.read_table(file, filters=[("shard", "=", shard)]).to_pylist()
         if len(found) != 1:
-            raise FileNotFoundError(f"shard {shard} of {self.folder}: {len(found)} rows")
+            raise FileNotFoundError(f"shard {shard} in {file}: {len(found)} rows")
         for name, kind in _PARTS.items():
             # each worker writes its own file; the last rename of equal content wins
-            own = home / f"{shard}.{name}.{uuid.uuid4().hex}"
+            own = f"{file}.{shard}.{name}.{uuid.uuid4().hex}"
             np.save(own, np.frombuffer(found[0][name], kind))
-            os.replace(f"{own}.npy", home / f"{shard}.{name}.npy")
+            os.replace(f"{own}.npy", f"{file}.{shard}.{name}.npy")
 
     def _get(self, shard: int) -> tuple:
         if shard not in self._held:
-            home = Path(SparkFiles.get(self.folder))
-            if not (home / f"{shard}.{list(_PARTS)[-1]}.npy").exists():
-                self._unpack(home, shard)
-            displacements, prints, counts = (np.load(home / f"{shard}.{name}.npy", mmap_mode="r") for name in _PARTS)
+            file = Path(SparkFiles.get(self.files[shard]))
+            if not Path(f"{file}.{shard}.{list(_PARTS)[-1]}.npy").exists():
+                self._unpack(file, shard)
+            displacements, prints, counts = (np.load(f"{file}.{shard}.{name}.npy", mmap_mode="r") for name in _PARTS)
             self._held[shard] = PerfectHash(len(prints), displacements), prints, counts
         return self._held[shard]
 
@@ -208,10 +210,15 @@ def index_lines(counted: DataFrame, index_from: int = 2) -> Shards:
     shard = F.expr(f"cast(pmod(cast(h as decimal(20,0)) + if(h < 0, 18446744073709551616BD, 0BD), {shards}) as long)")
     zero = F.lit(0).cast("long")
     each = spark.range(shards).select(zero.alias("h"), zero.alias("f"), zero.alias("n"), F.col("id").alias("shard"))
-    name = f"lines-{uuid.uuid4().hex}"
-    kept.withColumn("shard", shard).unionByName(each).groupBy("shard").applyInPandas(_build_shard, _SHARD).write.parquet(f"{folder}/{name}")
-    spark.sparkContext.addFile(f"{folder}/{name}", recursive=True)
-    return Shards(name, shards)
+    kept.withColumn("shard", shard).unionByName(each).groupBy("shard").applyInPandas(_build_shard, _SHARD).write.parquet(f"{folder}/shards")
+    # a name a shard, and a shard has many thousand keys
+    written = spark.read.parquet(f"{folder}/shards").select("shard", F.input_file_name().alias("file")).collect()
+    place = {r["shard"]: r["file"] for r in written}
+    if sorted(place) != list(range(shards)):
+        raise RuntimeError(f"{shards} shards were to be written, not {len(place)}")
+    for file in sorted(set(place.values())):
+        spark.sparkContext.addFile(file)
+    return Shards([unquote(place[k]).rsplit("/", 1)[-1] for k in range(shards)])
 
 
 def probe(docs: DataFrame, shards: Shards, min_docs: int, text_col: str = "text") -> DataFrame:

@@ -119,7 +119,7 @@ def test_many_shards_and_a_missing_one(spark, monkeypatch):
     words = np.arange(100, dtype=np.int64)
     assert not shards.counts(words, words).any()
     with pytest.raises(FileNotFoundError):
-        line_dedup.Shards("nowhere", 3).counts(words, words)
+        line_dedup.Shards(["nowhere"] * 3).counts(words, words)
 
 
 # --- n-gram Jaccard
