@@ -105,6 +105,14 @@ def embedding_pairs(vectors: DataFrame, threshold: float = 0.83, id_col: str = "
         sizes = np.array([len(v) for v in vectors])
         a, b, c = [], [], []
         # vectors of different lengths have cosine 0
+        if threshold <= 0:
+            i, j = np.nonzero(np.triu(sizes[:, None] != sizes[None, :], 1))
+            if key[0].as_py() != key[1].as_py():
+                i, j = i[own[i] != own[j]], j[own[i] != own[j]]
+            for p, q in zip(ids[i], ids[j]):
+                a.append(min(p, q))
+                b.append(max(p, q))
+                c.append(0.0)
         for d in np.unique(sizes):
             at = np.flatnonzero(sizes == d)
             x = np.array([vectors[i] for i in at], dtype=np.float64)

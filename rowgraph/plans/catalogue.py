@@ -446,7 +446,209 @@ def gc_extraction(spark: SparkSession, d: str) -> DataFrame:
     return stored.agg(F.count(F.lit(1)).alias("n_before")).join(removed)
 
 
-@_register()
+# --- the engine
+
+_PART = _TOKENS.format(pk="CAST(p_partkey AS VARCHAR)", ord="p_partkey", cols="", table="(SELECT p_partkey, p_name AS text FROM part) AS named")
+_PART_SEEN = "seen AS MATERIALIZED (SELECT CAST(p_partkey AS VARCHAR) AS pk FROM part WHERE p_brand = 'Brand#2')"
+_ROLE_SEEN = "seen AS MATERIALIZED (SELECT conv_id || '|' || turn AS pk FROM conversations WHERE role = 'system')"
+_UNREAD = "alive AS (SELECT t.* FROM tok t WHERE t.pk NOT IN (SELECT conv_id || '|' || turn FROM conversations WHERE role = 'user'))"
+
+
+def _parts(spark: SparkSession, d: str) -> Engine:
+    """Part names with all lanes; a reader sees one brand."""
+    engine, parts = Engine(spark, nfkc=False), table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
+    engine.watch("part", lambda: parts, "p_name", "p_partkey", "union", lambda rows, user: rows.filter(F.col("p_brand") == user))
+    return engine
+
+
+def _talks(spark: SparkSession, d: str) -> Engine:
+    """The conversations with equal names only; a reader sees one role."""
+    engine, rows = Engine(spark, resolution="exact", nfkc=False), table(spark, d, "conversations")
+    engine.watch("conversations", lambda: rows, "text", ["conv_id", "turn"], "union", lambda rows, user: rows.filter(F.col("role") == user))
+    return engine
+
+
+@_register(f"WITH {_CONV}, {_GRAPH}, {_ROLE_SEEN} SELECT entity_id, surface, pk AS source_pk, surface AS surface_form FROM mention JOIN seen USING (pk)")
+def engine_maintain(spark: SparkSession, d: str) -> DataFrame:
+    """What a reader has after a maintenance run."""
+    engine = _talks(spark, d)
+    engine.maintain()
+    return engine.session("system").mentions("conversations")
+
+
+@_register(f"WITH {_CONV}, {_GRAPH} SELECT entity_id, surface FROM entity")
+def engine_reindex(spark: SparkSession, d: str) -> DataFrame:
+    engine = _talks(spark, d)
+    engine.reindex(1)
+    return engine.session().entities("conversations")
+
+
+@_register(f"WITH {_CONV}, {_UNREAD} SELECT row_number() OVER (ORDER BY min(row(ord, pos))) AS entity_id, surface FROM alive GROUP BY surface")
+def engine_process_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Changes as rows: those of one role are deleted, the rest written again."""
+    engine = _talks(spark, d)
+    engine.reindex(1)
+    op = F.when(F.col("role") == "user", "delete").otherwise("upsert")
+    feed = table(spark, d, "conversations").select(F.col("turn").cast("long").alias("seq"), F.concat_ws("|", "conv_id", "turn").alias("source_pk"), op.alias("op"))
+    engine.process_changes(1, feed)
+    return engine.session().entities("conversations")
+
+
+@_register(
+    f"WITH {_CONV} SELECT c.conv_id || '|' || c.turn AS source_pk, count(t.surface) AS n FROM conversations c "
+    "LEFT JOIN tok t ON t.pk = c.conv_id || '|' || c.turn WHERE c.role <> 'user' GROUP BY 1"
+)
+def engine_gc(spark: SparkSession, d: str) -> DataFrame:
+    """The stored extraction after rows went from the source and were collected."""
+    engine = _talks(spark, d)
+    engine.extract_pending(engine.find("conversations"))
+    left = table(spark, d, "conversations").filter("role <> 'user'")
+    engine.watch("conversations", lambda: left, "text", ["conv_id", "turn"])
+    engine.gc("conversations")
+    return engine.index_dump("conversations").select("source_pk", F.size("surfaces").cast("long").alias("n"))
+
+
+def _reviewed(link: str) -> str:
+    """Entities of the parts with the pairs of ``link`` merged; no lane joins any of these names."""
+    return (
+        f"WITH RECURSIVE {_PART}, names AS (SELECT DISTINCT surface AS norm FROM tok), link AS ({link}), {_REACH}, "
+        "firsts AS (SELECT c.canon, min(row(t.ord, t.pos)) AS f, arg_min(t.surface, row(t.ord, t.pos)) AS surface FROM tok t JOIN canon c ON c.norm = t.surface GROUP BY c.canon) "
+        "SELECT row_number() OVER (ORDER BY f) AS entity_id, surface, canon AS norm FROM firsts"
+    )
+
+
+@_register(_reviewed("SELECT 'blue' AS a, 'red' AS b"))
+def review_merge(spark: SparkSession, d: str) -> DataFrame:
+    engine = _parts(spark, d)
+    engine.merge("part", "Red", "blue")
+    return engine.session().catalog("part", "entity")
+
+
+@_register(_reviewed("SELECT norm AS a, norm AS b FROM names"))
+def review_split(spark: SparkSession, d: str) -> DataFrame:
+    """A split takes the place of an earlier merge of the same pair."""
+    engine = _parts(spark, d)
+    engine.merge("part", "red", "blue")
+    engine.split("part", "blue", "red")
+    return engine.session().catalog("part", "entity")
+
+
+@_register(_reviewed("SELECT norm AS a, norm AS b FROM names"))
+def review_unmerge(spark: SparkSession, d: str) -> DataFrame:
+    engine = _parts(spark, d)
+    engine.merge("part", "hot", "cold")
+    engine.unmerge("part", "hot", "cold")
+    return engine.session().catalog("part", "entity")
+
+
+@_register(
+    f"WITH {_PART}, k AS (SELECT *, CASE WHEN pk = '1' AND surface = 'red' THEN surface || chr(31) || pk ELSE surface END AS norm FROM tok) "
+    "SELECT row_number() OVER (ORDER BY min(row(ord, pos))) AS entity_id, arg_min(surface, row(ord, pos)) AS surface, norm FROM k GROUP BY norm"
+)
+def review_split_mention(spark: SparkSession, d: str) -> DataFrame:
+    """One mention set apart from its name."""
+    engine = _parts(spark, d)
+    engine.split_mention("part", 1, "Red")
+    return engine.session().catalog("part", "entity")
+
+
+@_register(
+    f"WITH {_PART}, {_PART_SEEN} SELECT 'blue' AS norm_a, 'red' AS norm_b, 'merge' AS verdict WHERE EXISTS (SELECT 1 FROM tok JOIN seen USING (pk) WHERE surface IN ('blue', 'red'))"
+)
+def review_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """The decisions that a reader may see."""
+    engine = _parts(spark, d)
+    engine.merge("part", "red", "blue")
+    return engine.session("Brand#2").decisions("part")
+
+
+@_register(
+    f"WITH {_PART}, names AS (SELECT DISTINCT surface AS norm FROM tok), {_GRAPH}, {_KEYS}, {_PART_SEEN}, seen_entity AS (SELECT DISTINCT entity_id, surface FROM mention JOIN seen USING (pk)) "
+    "SELECT 'entity' AS relation, count(*) AS n FROM seen_entity UNION ALL SELECT 'mention', count(*) FROM mention JOIN seen USING (pk) "
+    "UNION ALL SELECT 'edge', count(DISTINCT row(src, dst)) FROM support JOIN seen USING (pk) UNION ALL SELECT 'edge_support', count(*) FROM support JOIN seen USING (pk) "
+    "UNION ALL SELECT 'entity_phonetic', count(*) FROM seen_entity JOIN keyed ON norm = surface"
+)
+def catalog_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each relation a reader sees."""
+    engine = _parts(spark, d)
+    engine.maintain()
+    me, out = engine.session("Brand#2"), None
+    for relation in ("entity", "mention", "edge", "edge_support", "entity_phonetic"):
+        one = me.catalog("part", relation).agg(F.count(F.lit(1)).alias("n")).select(F.lit(relation).alias("relation"), "n")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@_register(
+    f"WITH {_PART}, {_GRAPH}, {_PART_SEEN}, named AS ({_NAMED} WHERE EXISTS (SELECT 1 FROM support u JOIN seen USING (pk) WHERE u.src = e.src AND u.dst = e.dst)) "
+    "SELECT src AS person, count(*) AS n FROM named GROUP BY src"
+)
+def views_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """A reader's views asked in SQL."""
+    engine = _parts(spark, d)
+    engine.maintain()
+    engine.session("Brand#2").views("part")
+    return spark.sql("SELECT person, count(*) AS n FROM my_circle JOIN my_people USING (person) GROUP BY person")
+
+
+# --- scalars and access paths on their own
+
+
+@_register("SELECT doc_id, source, length(text) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def point_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by key, the keys being rows themselves."""
+    keys = table(spark, d, "labels").filter("toxic = 1").select("doc_id")
+    return table(spark, d, "documents").join(keys, "doc_id", "left_semi").select("doc_id", "source", F.length("text").cast("long").alias("n"))
+
+
+@_register(
+    "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM v a JOIN v b ON b.vec_id = a.vec_id + 1"
+)
+def cosine_of_successors(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    return v.join(after, "vec_id").select("vec_id", F.round(text.cosine(F.col("v"), F.col("w")), 6).alias("cosine"))
+
+
+@_register("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, to_json(struct_pack(id := event_id, op := event_type)) AS change FROM events")
+def json_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Changes to and from JSON."""
+    change = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("op")))
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), change.alias("change"))
+
+
+_SPELLED = ["Khashayar", "خشایار", "Хабаров", "Khabarov", "Ali", "علی", "علي", "Faeze", "فائزه", "ﬁne Ｗｉｄｅ", "كتاب", "می‌رود", "  Two   Words ", "Щука", "Юрий"]
+
+
+def _spelled(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, s) for i, s in enumerate(_SPELLED)], "id int, name string")
+
+
+_NORMAL = ["khashayar", "خشایار", "хабаров", "khabarov", "ali", "علی", "علی", "faeze", "فائزه", "fine wide", "کتاب", "میرود", "two words", "щука", "юрий"]
+_SOUNDS = {
+    "ali": "l", "khashayar": "xcr", "faeze": "fz", "khabarov": "xbrv", "юрий": "yr yry r ry", "خشایار": "xcr xcyr", "فائزه": "fz fzh", "علی": "l ly",
+    "fine wide": "fn_vd", "میرود": "mrd mrvd myrd myrvd", "щука": "ck", "хабаров": "xbrv", "two words": "t_vrds", "کتاب": "ktb",
+}
+
+
+def _rows(rows: list[tuple], names: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(str(tuple(r)) for r in rows)}) v({names})"
+
+
+@_register(_rows(list(enumerate(_NORMAL)), "id, norm"))
+def scripts_normalized(spark: SparkSession, d: str) -> DataFrame:
+    """Names of three scripts with compatibility forms, folded letters and joiners (a fixture; tables have Latin text only)."""
+    return _spelled(spark).select("id", text.normalize_name(F.col("name")).alias("norm"))
+
+
+@_register(_rows([(n, k.replace("_", " ")) for n, ks in _SOUNDS.items() for k in ks.split()], "norm, key"))
+def scripts_phonetic(spark: SparkSession, d: str) -> DataFrame:
+    """The phonetic keys of the same names."""
+    names = _spelled(spark).select(text.normalize_name(F.col("name")).alias("norm")).distinct()
+    return resolve.phonetic_keyed(names).distinct()
+
+
+@_register(_rows([(1, "khashayar"), (2, "хабаров"), (3, "ali"), (4, "علی"), (5, "faeze"), (6, "فائزه")], "entity_id, surface"))
 def cross_script_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Names in three scripts through all lanes (a fixture; tables have Latin text only)."""
     rows = [(i, s) for i, s in enumerate(["Khashayar", "خشایار", "Хабаров", "Khabarov", "Ali", "علی", "علي", "Faeze", "فائزه"])]
@@ -457,7 +659,10 @@ def cross_script_resolution(spark: SparkSession, d: str) -> DataFrame:
     return engine.session().entities("contacts")
 
 
-@_register()
+@_register(
+    f"WITH {_DOC}, {_FEED}, alive AS (SELECT t.* FROM tok t LEFT JOIN feed f ON f.doc_id = t.ord WHERE f.last IS NULL OR f.last <> 'error') "
+    "SELECT row_number() OVER (ORDER BY min(row(ord, pos))) AS entity_id, surface FROM alive GROUP BY surface"
+)
 def incremental_stream(spark: SparkSession, d: str) -> DataFrame:
     """The change feed as a stream into the documents' graph; gives its entities."""
     from rowgraph.streaming.maintain import start_maintenance

@@ -169,10 +169,12 @@ class Engine:
         """Bring every watch up to date; returns watches resolved plus changes applied."""
         touched = 0
         for w in self.watches.values():
-            touched += 1 + len(w.dirty)
-            w.dirty.clear()
+            noted = len(w.dirty)
             self.extract_pending(w)
             self.resolve(w)
+            # only what was noted before the work, and only once it is done
+            del w.dirty[:noted]
+            touched += 1 + noted
         return touched
 
     # --- changes
@@ -185,10 +187,10 @@ class Engine:
 
     def process_changes(self, watch_id: int, changes: DataFrame | None = None) -> int:
         """Apply noted changes, or a frame ``(seq, source_pk, op)``; the last per row wins."""
-        w = self._by_id(watch_id)
+        w, noted = self._by_id(watch_id), 0
         if changes is None:
-            changes = self.spark.createDataFrame([(i, pk, op) for i, (pk, op) in enumerate(w.dirty)], "seq long, source_pk string, op string")
-            w.dirty.clear()
+            noted = len(w.dirty)
+            changes = self.spark.createDataFrame([(i, pk, op) for i, (pk, op) in enumerate(w.dirty[:noted])], "seq long, source_pk string, op string")
         many = changes.count()
         if not many:
             return 0
@@ -199,6 +201,8 @@ class Engine:
         rows = w.read().withColumn("_pk", w.pk().cast("string")).join(upserts, "_pk", "left_semi")
         self.store.replace(watch_id, cut(kept.unionByName(self._extracted(w, rows).select(*stored.columns))))
         self.resolve(w)
+        # a run that fails loses no change
+        del w.dirty[:noted]
         return many
 
     def gc(self, name: str, text_col: str | None = None) -> int:
@@ -272,14 +276,14 @@ class Session:
     """Read accessors bound to one principal."""
 
     def __init__(self, engine: Engine, user: str | None):
-        self._engine, self._user = engine, user
+        self.__engine, self._user = engine, user
 
     def _at(self, name: str, text_col: str | None):
-        w = self._engine.find(name, text_col)
+        w = self.__engine.find(name, text_col)
         rows = w.read()
         if self._user is not None and w.policy is not None:
             rows = w.policy(rows, self._user)
-        return w, self._engine.graph(w), rows.select(w.pk().cast("string").alias("source_pk"))
+        return w, self.__engine.graph(w), rows.select(w.pk().cast("string").alias("source_pk"))
 
     def entities(self, name: str, text_col: str | None = None) -> DataFrame:
         _, g, pks = self._at(name, text_col)
@@ -296,12 +300,12 @@ class Session:
 
     def proposals(self, name: str, text_col: str | None = None, exclude_decided: bool = False) -> DataFrame:
         w, g, pks = self._at(name, text_col)
-        decided = self._engine._decisions(w) if exclude_decided else None
+        decided = self.__engine._decisions(w) if exclude_decided else None
         return visibility.visible_proposals(g, pks, decided).orderBy("surface_a", "surface_b")
 
     def decisions(self, name: str, text_col: str | None = None) -> DataFrame:
         w, g, pks = self._at(name, text_col)
-        seen = visibility.visible_decisions(self._engine._decisions(w), g, pks)
+        seen = visibility.visible_decisions(self.__engine._decisions(w), g, pks)
         return seen.select("norm_a", "norm_b", "verdict").orderBy("norm_a", "norm_b")
 
     def most_connected(self, name: str, text_col: str | None = None) -> DataFrame:
@@ -321,9 +325,9 @@ class Session:
         if relation == "entity_phonetic":
             return visibility.visible_phonetic(g, pks)
         if relation == "mention_override":
-            return visibility.visible_overrides(self._engine._overrides(w), pks)
+            return visibility.visible_overrides(self.__engine._overrides(w), pks)
         if relation == "decision":
-            return visibility.visible_decisions(self._engine._decisions(w), g, pks)
+            return visibility.visible_decisions(self.__engine._decisions(w), g, pks)
         raise LookupError(relation)
 
     def views(self, name: str, prefix: str = "my_", text_col: str | None = None) -> None:

@@ -13,7 +13,8 @@ from rowgraph.plans.catalogue import ORACLES, QUERIES
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the tables")
 
-CHOSEN = ["tokenize_counts", "phonetic_latin_keys", "fuzzy_pairs", "edges_intersection", "proposals", "typed_edges", "decisions_split", "override_split_mention", "apply_changes"]
+CHOSEN = ["tokenize_counts", "phonetic_latin_keys", "fuzzy_pairs", "edges_intersection", "proposals", "typed_edges", "decisions_split", "override_split_mention", "apply_changes",
+          "engine_process_changes", "engine_gc", "review_merge", "review_split_mention", "catalog_counts", "scripts_normalized", "scripts_phonetic", "json_changes"]
 
 
 def plain(value):

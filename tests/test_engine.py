@@ -280,3 +280,19 @@ def test_streaming_maintenance(spark, tmp_path):
     stream = spark.readStream.schema("seq long, source_pk string, op string").parquet(folder)
     start_maintenance(engine, 1, stream, str(tmp_path / "at"), every=None).awaitTermination()
     assert names(engine) == ["ben", "paris", "sara"]
+
+
+def test_a_failed_run_loses_no_change(spark, monkeypatch):
+    watch, engine = built(spark, [(1, "a", "Sara Tehran"), (2, "a", "Reza Berlin")])
+    engine.enqueue(1, [("1", "delete")])
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(engine, "resolve", fail)
+        with pytest.raises(RuntimeError):
+            engine.process_changes(1)
+        with pytest.raises(RuntimeError):
+            engine.maintain()
+    assert engine.process_changes(1) == 1 and engine.process_changes(1) == 0

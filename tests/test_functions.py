@@ -128,3 +128,9 @@ def test_dense_ids(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x")).repartition(5)
     rows = with_dense_ids(df, "n", "x").orderBy("x").collect()
     assert [r["n"] for r in rows] == list(range(1, 1001))
+
+
+def test_embedding_lane_at_threshold_zero(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [-1.0, 0.0]), ("d", [1.0])]
+    got = resolve.embedding_pairs(spark.createDataFrame(rows, "norm string, vector array<double>"), 0.0)
+    assert pairs(got) == {("a", "b"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")}
