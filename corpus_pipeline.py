@@ -56,7 +56,7 @@ STAGES = [
     ("best_fit_packing", packed),
 ]
 
-#: SQL cannot express the stages; a brute-force version checks them in the tests.
+#: SQL cannot express the stages; the tests hold each against what was planted.
 ORACLE_SQL = None
 
 
