@@ -7,8 +7,8 @@ the same passage keeps the same suffixes in every document.  Kept suffixes are
 sorted by their 8-gram and compared with their neighbours.  How far a match
 reaches to the left and right is read off hashes instead of words: every
 stretch that chose a position travels beside it, as 64 bits and its place, and
-neighbours in the order of 8-gram, place and hash that agree in all three are
-one passage, 128 bits and the place; stretches that follow each other join up.
+neighbours in the order of 8-gram with place and of hash that agree in both, 128
+bits together, are one passage; stretches that follow each other join up.
 Shipping the words themselves would be over three times as much.
 
 Result: one row per document that shares a passage of ``min_words`` words or
