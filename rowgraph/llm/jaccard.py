@@ -27,6 +27,14 @@ places of the common n-gram leave room for the overlap that the threshold asks
 for, and if no more n-grams than it allows are missing on either side by 256
 bits of each set, which never count too many.
 
+Near copies of one text come in groups that grow with the input, and their
+links with the square.  Texts of a bucket of more than ``HOT`` therefore get a
+hub, the text of it that shares the most.  With the exact overlap ``o`` of each
+text with its hub of ``r`` n-grams, two texts of one hub share at least
+``o + o' - r``; where that reaches the threshold the link is certain.  This
+comes to a sum of one number for each text (``surplus``), so certain links are
+counted by running sums and never written down; all other pairs are verified.
+
 Keys are counted with partial sums before anything meets.  A bucket of many
 classes is split into blocks and so is a group of near copies when its pairs
 are verified: there classes are put in blocks of about ``BLOCK_GRAMS`` n-grams
@@ -48,7 +56,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowgraph.llm.expressions import let
@@ -64,6 +72,8 @@ EXACT = 64
 #: N-grams a block of verification holds on average (8 bytes each).
 BLOCK_GRAMS = 1 << 16
 BUCKET_BLOCK = 256
+#: Texts in a bucket from which they get a hub.
+HOT = 64
 _LOW = 0xFFFFFFFF
 
 
@@ -206,13 +216,12 @@ def _stays(threshold: float, tolerance: float) -> Column:
 
 
 def _in_blocks(rows: DataFrame, *key: str) -> DataFrame:
-    """``rows`` with ``lo`` and ``hi``, once for each pair of blocks of its key that holds its own block.
+    """``rows``, each in its block ``own``, with ``lo`` and ``hi``, once for each pair of its block with one of the first ``meets``.
 
     The exchange is the same for both sides of a join with itself, so it is written once.
     """
-    own = rows.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = each.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "blocks")
+    each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
+    placed = each.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "meets")
     return placed.repartition(*key, "lo", "hi")
 
 
@@ -227,26 +236,75 @@ def _blocks_of(n: Column) -> Column:
     return F.ceil(n / BUCKET_BLOCK).cast("int")
 
 
-def candidate_pairs(signed: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Rows ``(a, b, na, nb)``, ``a < b``, of nodes that share a band and may reach the threshold."""
+def _block(node: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(node), blocks).cast("int")
+
+
+def shared_bands(signed: DataFrame) -> DataFrame:
+    """Rows ``(band, node, n)`` of the bands that ``n`` > 1 nodes share."""
     rows = signed.select("node", F.posexplode("bands").alias("k", "h"))
     rows = rows.select("node", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("h").cast("long").bitwiseAND(F.lit(_LOW))).alias("band"))
     counted = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = rows.join(counted.hint("merge"), "band").select("band", "node", _blocks_of(F.col("n")).alias("blocks"))
+    return rows.join(counted.hint("merge"), "band").select("band", "node", "n")
+
+
+def members_of(held: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str, n: int) -> DataFrame:
+    """Rows ``(node, hub, surplus, top)`` of the nodes of large buckets.
+
+    Two nodes of one hub reach the threshold if their surpluses add up to more
+    than 0; ``top`` is the hub's own, which no other exceeds.
+    """
+    hot = cut(held.filter(F.col("n") > HOT))
+    score = hot.groupBy("node").agg(F.sum("n").alias("score"))
+    best = hot.join(score, "node").groupBy("band").agg(F.max(F.struct("score", "node")).alias("best"))
+    hubs = cut(hot.join(best, "band").groupBy("node").agg(F.max("best")["node"].alias("hub")))
+    sets = cut(_sets(docs, hubs.select("node").unionAll(hubs.select("hub")).distinct(), id_col, text_col, n))
+    met = hubs.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("grams").alias("center")), "hub")
+    sized = met.select("node", "hub", F.size("grams").alias("s"), F.size("center").alias("r"), F.size(F.array_intersect("grams", "center")).alias("o"))
+    # (o + o' - r) / (s + s' - (o + o' - r)) >= threshold, taken apart; whole numbers, so that every step agrees on each pair
+    whole = lambda o, s: F.floor(1024 * ((1 + threshold) * (o - F.col("r") / 2) - threshold * s)).cast("long")
+    return cut(sized.select("node", "hub", whole(F.col("o"), F.col("s")).alias("surplus"), whole(F.col("r"), F.col("r")).alias("top")))
+
+
+def candidate_pairs(signed: DataFrame, held: DataFrame, threshold: float, tolerance: float, members: DataFrame | None = None) -> DataFrame:
+    """Rows ``(a, b, na, nb)``, ``a < b``, of nodes that share a band and may reach the threshold, certain links of ``members`` left out."""
+    sides = signed.filter(F.size("bands") > 0)
+    certain = F.lit(False)
+    own = F.col("n").cast("long")
+    if members is None:
+        placed = held.select("band", "node", _block("node", _blocks_of(own)).alias("own"), _blocks_of(own).alias("meets"))
+        group = []
+    else:
+        sides = sides.join(members.select("node", "hub", "surplus"), "node", "left")
+        group = [F.coalesce("hub", "node").alias("hub"), F.coalesce("surplus", F.lit(-(1 << 60))).alias("surplus")]
+        certain = (F.col("a_hub") == F.col("b_hub")) & (F.col("a_surplus") + F.col("b_surplus") > 0)
+        # nodes of one hub with a surplus above 0 are all linked: in a bucket they meet the rest only
+        core = members.filter("surplus > 0").select("node", "hub")
+        cores = held.join(core, "node").groupBy("band", "hub").agg(F.count(F.lit(1)).alias("m"))
+        cores = cores.groupBy("band").agg(F.max(F.struct("m", "hub")).alias("c"))
+        rows = held.join(core, "node", "left").join(cores, "band", "left").select(
+            "band", "node", F.coalesce(F.col("hub") == F.col("c.hub"), F.lit(False)).alias("inner"),
+            _blocks_of(F.col("n") - F.coalesce("c.m", F.lit(0))).alias("outers"), _blocks_of(F.coalesce("c.m", F.lit(0))).alias("inners"),
+        )
+        placed = rows.filter("outers > 0").select(
+            "band", "node",
+            F.when(F.col("inner"), F.col("outers") + _block("node", F.greatest("inners", F.lit(1)))).otherwise(_block("node", F.col("outers"))).alias("own"),
+            F.when(F.col("inner"), F.col("outers")).otherwise(F.col("outers") + F.col("inners")).alias("meets"),
+        )
     zero = F.lit(0).cast("long")
     # two bands in a word: whether an earlier one is shared is a matter of the same bits that make the buckets
     pair = lambda i: F.shiftleft(F.get("bands", F.lit(2 * i + 1)).cast("long"), 32).bitwiseOR(F.get("bands", F.lit(2 * i)).cast("long").bitwiseAND(F.lit(_LOW)))
-    sides = signed.filter(F.size("bands") > 0).select(
-        "node", "size", *[F.coalesce(pair(i), zero).alias(f"p{i}") for i in range(BANDS // 2)],
+    sides = sides.select(
+        "node", "size", *group, *[F.coalesce(pair(i), zero).alias(f"p{i}") for i in range(BANDS // 2)],
         *[F.coalesce(F.get("words", F.lit(w)), zero).alias(f"w{w}") for w in range(VALUES // STEP)],
     )
-    met, once = _met(_in_blocks(held.join(sides.hint("merge"), "node"), "band"), "band")
+    met, once = _met(_in_blocks(placed.join(sides.hint("merge"), "node"), "band"), "band")
     here, apart = F.shiftright("band", 32), F.lit(True)
     for i in range(BANDS // 2):
         x = F.col(f"a_p{i}").bitwiseXOR(F.col(f"b_p{i}"))
         apart = apart & ((here <= 2 * i) | (x.bitwiseAND(F.lit(_LOW)) != 0)) & ((here <= 2 * i + 1) | (F.shiftrightunsigned(x, 32) != 0))
     near = F.least("a_size", "b_size") >= threshold * F.greatest("a_size", "b_size")
-    kept = met.filter(once & near & _stays(threshold, tolerance) & apart)
+    kept = met.filter(once & ~certain & near & apart & _stays(threshold, tolerance))
     return kept.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_size").alias("na"), F.col("b_size").alias("nb"))
 
 
@@ -280,7 +338,7 @@ def short_pairs(signed: DataFrame, threshold: float) -> DataFrame:
     )
     posted = posted.select(
         F.col("e.gram").alias("gram"), "node", "size", "own_grams", (F.col("size") - F.col("own_grams") - F.col("at")).alias("left"),
-        _blocks_of(F.col("e.n")).alias("blocks"), *[f"m{k}" for k in range(4)],
+        _block("node", _blocks_of(F.col("e.n"))).alias("own"), _blocks_of(F.col("e.n")).alias("meets"), *[f"m{k}" for k in range(4)],
     )
     met, once = _met(_in_blocks(posted, "gram"), "gram")
     need = _least_overlap(threshold / (1 + threshold), F.col("a_size") + F.col("b_size"))
@@ -296,9 +354,19 @@ def short_pairs(signed: DataFrame, threshold: float) -> DataFrame:
     return kept.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_size").alias("na"), F.col("b_size").alias("nb"))
 
 
+def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """Rows ``(node, grams)`` of the nodes asked for."""
+    return (
+        docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
+        .join(nodes, "node", "left_semi")
+        .dropDuplicates(["node"])
+        .select("node", F.array_distinct(word_ngrams(F.col("text"), n)).alias("grams"))
+    )
+
+
 def verify(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str, n: int) -> DataFrame:
     """``(a, b, jaccard)`` of the pairs ``(a, b, na, nb)`` that reach the threshold on whole sets."""
-    pairs = cut(pairs.distinct())
+    pairs = cut(pairs.distinct(), fused=False)
     ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), F.col("na").alias("size")).unionAll(
         pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), F.col("nb").alias("size"))
     )
@@ -312,12 +380,7 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, tex
     )
     blocked = cut(blocked)
     members = blocked.select("g", F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = (
-        docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
-        .join(placed.select("node"), "node", "left_semi")
-        .dropDuplicates(["node"])
-        .select("node", F.array_distinct(word_ngrams(F.col("text"), n)).alias("grams"))
-    )
+    sets = _sets(docs, placed.select("node"), id_col, text_col, n)
     held = members.join(sets, "node").groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("node", "grams"))).alias("sets"))
     asked = blocked.groupBy("g").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
     each = asked.join(held.hint("merge"), "g").select("sets", F.explode("pairs").alias("p")).select(
@@ -332,26 +395,48 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, tex
 def jaccard_links(
     docs: DataFrame, threshold: float = 0.5, n: int = 3, tolerance: float = 1e-4, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
-    """Distinct texts ``(h1, h2, node, copies)`` and links ``(a, b, jaccard)`` between them."""
+    """Distinct texts ``(h1, h2, node, copies)`` and all links ``(a, b, jaccard)`` between them."""
+    signed = cut(signatures(docs, threshold, id_col, text_col, n))
+    pairs = candidate_pairs(signed, shared_bands(signed), threshold, tolerance).unionAll(short_pairs(signed, threshold))
+    return signed.select("h1", "h2", "node", "copies"), cut(verify(pairs, docs, threshold, id_col, text_col, n))
+
+
+def grouped_links(
+    docs: DataFrame, threshold: float = 0.5, n: int = 3, tolerance: float = 1e-4, id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``jaccard_links``, without the links that the rows ``(node, hub, surplus, top)``, which come last, make certain."""
     signed = cut(signatures(docs, threshold, id_col, text_col, n))
-    pairs = candidate_pairs(signed, threshold, tolerance).unionAll(short_pairs(signed, threshold))
+    held = cut(shared_bands(signed))
+    members = members_of(held, docs, threshold, id_col, text_col, n)
+    pairs = candidate_pairs(signed, held, threshold, tolerance, members).unionAll(short_pairs(signed, threshold))
     links = cut(verify(pairs, docs, threshold, id_col, text_col, n))
-    return signed.select("h1", "h2", "node", "copies"), links
+    return signed.select("h1", "h2", "node", "copies"), links, members
+
+
+def _certain(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows ``(node, linked)``: how many documents of other nodes a node's certain links reach."""
+    sized = members.join(sizes, "node")
+    # of one hub there are as many rows as different surpluses, whatever the number of its nodes
+    values = sized.groupBy("hub", "surplus").agg(F.sum("copies").alias("c"))
+    asked = values.select("hub", (1 - F.col("surplus")).alias("at"), F.lit(0).cast("long").alias("c"), "surplus")
+    given = values.select("hub", F.col("surplus").alias("at"), "c", F.lit(None).cast("long").alias("surplus"))
+    reached = asked.unionAll(given).withColumn("reached", F.sum("c").over(Window.partitionBy("hub").orderBy(F.desc("at"))))
+    found = sized.join(reached.filter("surplus is not null").select("hub", "surplus", "reached"), ["hub", "surplus"])
+    return found.select("node", (F.col("reached") - F.when(F.col("surplus") > 0, F.col("copies")).otherwise(0)).alias("linked"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows ``(id, class_id, n_links, copies)``, one per document with an id."""
-    nodes, links = jaccard_links(docs, id_col=id_col, text_col=text_col, **options)
+    nodes, links, members = grouped_links(docs, id_col=id_col, text_col=text_col, **options)
     sizes = nodes.select("node", "copies")
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(
         links.select(F.col("b").alias("node"), F.col("a").alias("other"))
     )
-    degree = (
-        ends.join(sizes.select(F.col("node").alias("other"), F.col("copies").alias("c")), "other")
-        .groupBy("node")
-        .agg(F.sum("c").alias("linked"))
-    )
-    classes = connected_components(links).withColumnRenamed("component", "least")
+    verified = ends.join(sizes.select(F.col("node").alias("other"), F.col("copies").alias("linked")), "other").select("node", "linked")
+    degree = verified.unionAll(_certain(members, sizes)).groupBy("node").agg(F.sum("linked").alias("linked"))
+    # whoever has a certain link has one with the hub
+    spokes = members.filter("surplus + top > 0 and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    classes = connected_components(links.select("a", "b").unionAll(spokes)).withColumnRenamed("component", "least")
     known = nodes.join(degree, "node", "left").join(classes, "node", "left")
     known = known.select(
         "h1", "h2", "copies",

@@ -203,6 +203,31 @@ def test_links_of_short_texts_equal_brute_force(spark, monkeypatch):
         assert found == sorted((a, b) for a, b in want if first[texts[a - 1][1]] == a and first[texts[b - 1][1]] == b)
 
 
+def test_links_of_many_near_copies_are_counted_without_being_listed(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = []
+    for size, copies in ((200, 90), (70, 80)):
+        base = [f"w{size}x{i}" for i in range(size)]
+        texts.append(" ".join(base))
+        for k in range(copies):
+            # from nearly equal to below the threshold, so that some pairs link and some do not
+            changed = set(rng.sample(range(size), 1 + size * (k % 9) // 120))
+            texts.append(" ".join(f"v{k}x{i}" if i in changed else w for i, w in enumerate(base)))
+    texts += [texts[0], texts[0], texts[5]]
+    texts = list(enumerate(texts, 1))
+    want = exact_links(texts)
+    degree = {i: sum(i in pair for pair in want) for i, _ in texts}
+    listed, verify = [], jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, *rest: (listed.append(pairs.distinct().count()), verify(pairs, *rest))[1])
+    monkeypatch.setattr(jaccard, "HOT", 8, raising=False)
+    d = docs(spark, *[t for _, t in texts])
+    for block in (jaccard.BUCKET_BLOCK, 7):
+        monkeypatch.setattr(jaccard, "BUCKET_BLOCK", block)
+        found = {r["doc_id"]: r["n_links"] for r in jaccard.near_duplicates(d).collect()}
+        assert {i: n for i, n in found.items() if n != degree[i]} == {}
+    assert max(listed) < len(want) / 2, (listed, len(want))
+
+
 def test_keep_one_drops_copies_and_repeated_rows(spark):
     d = docs(spark, "a b c d e f", "a b c d e f", "x y z").unionAll(docs(spark, "a b c d e f"))
     kept = jaccard.keep_one(d)
