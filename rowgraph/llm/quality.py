@@ -8,9 +8,11 @@ share labelled bad; the score is the logistic of the distance from it, so a
 score of 0.5 is the threshold.
 
 Features are built-in expressions on the whole text; labels, language, source
-and id are none of them.  Training reads the features of at most
-``max_labelled`` labelled documents, those of least id hash, and draws
-``pairs`` pairs from them: the driver's share is bounded whatever the input.
+and id are none of them.  Every labelled document trains: means, pairs and the
+threshold are made of all of them, by aggregations, a join and a range sort, so
+the driver gets sums only.  Each document of the more frequent label is paired
+with as many of the other as make ``pairs`` pairs, with one at least and with
+all at most; so each of the rarer label is in a pair as well.
 
 Defined results: null and empty texts have all-zero features and a score; a
 document labelled twice, with both labels, trains twice, one labelled with null
@@ -20,10 +22,16 @@ no good or no bad document to learn from every score is 0.5 (predicted 1).
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowgraph.operators.ids import with_dense_ids
+from rowgraph.runtime import cut, ship_package
+
 MARKS = "#$%&*@^~+=<>{}[]\\/_"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -78,70 +86,100 @@ class Ranker:
         self.mean, self.spread, self.weights = mean, spread, weights
         self.threshold, self.scale = threshold, scale
 
-    @classmethod
-    def fit(cls, x: np.ndarray, good: np.ndarray, pairs: int = 200_000, penalty: float = 1e-3, seed: int = 7) -> "Ranker":
-        d = x.shape[1] if x.ndim == 2 and x.size else len(NAMES)
-        if not good.any() or good.all() or not len(good):
-            return cls(np.zeros(d), np.ones(d), np.zeros(d), 0.0, 1.0)
-        mean, spread = x.mean(0), x.std(0)
-        spread[spread == 0] = 1
-        z = (x - mean) / spread
-        rng = np.random.default_rng(seed)
-        better = z[rng.choice(np.flatnonzero(good), pairs)]
-        worse = z[rng.choice(np.flatnonzero(~good), pairs)]
-        diff = better - worse
-        w = np.zeros(d)
-        for _ in range(50):  # Newton steps on mean log(1 + exp(-w.diff)) + penalty |w|^2 / 2
-            p = 1 / (1 + np.exp(np.clip(diff @ w, -500, 500)))
-            grad = -(diff * p[:, None]).mean(0) + penalty * w
-            hess = (diff * (p * (1 - p))[:, None]).T @ diff / pairs + penalty * np.eye(d)
-            step = np.linalg.solve(hess, grad)
-            w -= step
-            if np.abs(step).max() < 1e-9:
-                break
-        s = z @ w
-        cut = cls._between(s, (~good).mean())
-        spread_of_scores = max(float(s.std()), 1e-9)
-        return cls(mean, spread, w, cut, 4.0 / spread_of_scores)
-
-    @staticmethod
-    def _between(s: np.ndarray, share: float) -> float:
-        """Midway between the strengths on either side of the quantile."""
-        s = np.sort(s)
-        at = min(max(int(round(share * len(s))), 1), len(s) - 1)
-        return float((s[at - 1] + s[at]) / 2)
+    def strength(self, made: dict[str, Column]) -> Column:
+        total = F.lit(0.0)
+        for name, m, sd, w in zip(NAMES, self.mean, self.spread, self.weights):
+            total = total + (made[name] - F.lit(float(m))) * F.lit(float(w / sd))
+        return total
 
     def score(self, text: Column) -> Column:
-        made = features(text)
-        strength = F.lit(0.0)
-        for name, m, sd, w in zip(NAMES, self.mean, self.spread, self.weights):
-            strength = strength + (made[name] - F.lit(float(m))) * F.lit(float(w / sd))
+        strength = self.strength(features(text))
         return 1 / (1 + F.exp(-(strength - F.lit(self.threshold)) * F.lit(self.scale)))
 
 
+def _rounded(values, digits: int) -> np.ndarray:
+    """To so many digits, so that the order of a sum makes no difference."""
+    return np.array([float(f"{v:.{digits}g}") for v in values])
+
+
+def _sums(w: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Gradient and second derivatives of log(1 + exp(-w.diff)), summed over a partition."""
+
+    def run(batches):
+        d = len(w)
+        grad, hess, n = np.zeros(d), np.zeros((d, d)), 0
+        for batch in batches:
+            diff = np.column_stack([c.to_numpy() for c in batch.columns])
+            p = 1 / (1 + np.exp(np.clip(diff @ w, -500, 500)))
+            grad -= diff.T @ p
+            hess += (diff * (p * (1 - p))[:, None]).T @ diff
+            n += len(diff)
+        yield pa.RecordBatch.from_pydict({"n": [n], "sums": [np.concatenate([grad, hess.ravel()]).tolist()]})
+
+    return run
+
+
+def _paired(rows: DataFrame, more: int, fewer: int, most_good: bool, pairs: int) -> DataFrame:
+    """The differences, good less bad, of the columns ``NAMES`` of ``rows``."""
+    times = min(max(1, -(-pairs // more)), fewer)
+    many, few = (
+        with_dense_ids(rows.filter(F.col("_good") == g).withColumn("_h", F.xxhash64("_id")), "_i", "_h", "_id").withColumn("_i", F.col("_i") - 1)
+        for g in (most_good, not most_good)
+    )
+    turns = many.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    at = F.pmod(F.col("_i") + F.floor(F.col("_i") / fewer) + F.col("_j"), F.lit(fewer))
+    a = turns.select(at.alias("_at"), *[F.col(k).alias(f"a_{k}") for k in NAMES])
+    b = few.select(F.col("_i").alias("_at"), *[F.col(k).alias(f"b_{k}") for k in NAMES])
+    sign = 1.0 if most_good else -1.0
+    return a.join(b, "_at").select(*[((F.col(f"a_{k}") - F.col(f"b_{k}")) * sign).alias(k) for k in NAMES])
+
+
 def fit_ranker(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
-    max_labelled: int = 10_000,
+    pairs: int = 200_000,
+    penalty: float = 1e-3,
 ) -> Ranker:
-    """Learn from the labelled documents of least id hash, ``max_labelled`` at most."""
-    marked = (
-        labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("_id"), F.col(label_col).alias("_good"))
-        .orderBy(F.xxhash64("_id"), "_id", "_good")
-        .limit(max_labelled)
-    )
-    # the chosen labels are at most max_labelled rows of two numbers
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(marked), "_id")
-    made = chosen.select("_id", "_good", F.xxhash64("_text").alias("_h"), F.struct(*[c.alias(k) for k, c in features(F.col("_text")).items()]).alias("_x"))
+    """Learn from all labelled documents."""
+    d = len(NAMES)
+    marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).distinct()
+    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(marked.hint("shuffle_hash"), "_id")
+    made = chosen.select("_id", "_label", F.xxhash64("_text").alias("_h"), F.struct(*[c.cast("double").alias(k) for k, c in features(F.col("_text")).items()]).alias("_x"))
     # one row a label, however many rows share its id
-    rows = made.groupBy("_id", "_good").agg(F.min_by("_x", "_h").alias("_x")).select("_id", "_good", "_x.*").collect()
-    rows.sort(key=lambda r: (r["_id"], r["_good"], tuple(r)))
-    x = np.array([[float(r[k]) for k in NAMES] for r in rows])
-    return Ranker.fit(x, np.array([r["_good"] == 1 for r in rows], dtype=bool))
+    rows = made.groupBy("_id", "_label").agg(F.min_by("_x", "_h").alias("_x"))
+    rows = cut(rows.select("_id", (F.col("_label") == 1).alias("_good"), "_x.*"))
+    known = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("_good").alias("good"),
+        *[F.avg(k).alias(f"m_{k}") for k in NAMES], *[F.stddev_pop(k).alias(f"s_{k}") for k in NAMES],
+    ).first()
+    n, good = known["n"], known["good"]
+    if not good or good == n:
+        return Ranker(np.zeros(d), np.ones(d), np.zeros(d), 0.0, 1.0)
+    mean, spread = (_rounded([known[f"{x}_{k}"] for k in NAMES], 9) for x in "ms")
+    spread[spread < 1e-12] = 1
+    most_good = good >= n - good
+    standard = rows.select("_id", "_good", *[((F.col(k) - float(m)) / float(sd)).alias(k) for k, m, sd in zip(NAMES, mean, spread)])
+    diff = cut(_paired(standard, max(good, n - good), min(good, n - good), most_good, pairs))
+    ship_package(docs.sparkSession)
+    w = np.zeros(d)
+    for _ in range(50):  # Newton steps on mean log(1 + exp(-w.diff)) + penalty |w|^2 / 2
+        parts = diff.mapInArrow(_sums(w), "n long, sums array<double>").collect()
+        count, sums = sum(r["n"] for r in parts), np.sum([r["sums"] for r in parts], axis=0)
+        step = np.linalg.solve(sums[d:].reshape(d, d) / count + penalty * np.eye(d), sums[:d] / count + penalty * w)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    ranker = Ranker(mean, spread, _rounded(w, 6), 0.0, 1.0)
+    strengths = rows.select(ranker.strength({k: F.col(k) for k in NAMES}).alias("s"))
+    # midway between the strengths on either side of the quantile
+    at = min(max(n - good, 1), n - 1)
+    sides = with_dense_ids(strengths, "at", "s").filter(F.col("at").isin(at, at + 1)).agg(F.avg("s").alias("s")).first()
+    ranker.threshold = sides["s"]
+    ranker.scale = 4.0 / max(float(_rounded([strengths.agg(F.stddev_pop("s")).first()[0]], 9)[0]), 1e-9)
+    return ranker
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,6 +1,7 @@
 """Text operators against brute force, round trips and odd input."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -401,6 +402,19 @@ def test_ranking_learns_and_handles_odd_input(spark):
     assert quality.fit_ranker(many.orderBy(F.desc("text")), labels).weights.tolist() == again.weights.tolist()
 
 
+def test_all_labelled_documents_train(spark):
+    rng = random.Random(10)
+    # more than 10,000, with every length seldom and all of them in the mean
+    texts = ["a" * rng.randint(1, 400) + ("#" * rng.randint(1, 9) if i % 4 == 0 else ".") for i in range(12_001)]
+    d = docs(spark, *texts)
+    labels = spark.createDataFrame([(i, int((i - 1) % 4 != 0)) for i in range(1, 12_002)], "doc_id long, quality int")
+    ranker = quality.fit_ranker(d, labels)
+    mean = sum(math.log1p(len(t)) for t in texts) / len(texts)
+    assert ranker.mean[quality.NAMES.index("length")] == pytest.approx(mean, rel=1e-8)
+    # as many lie below the threshold as are labelled bad
+    assert d.filter(ranker.score(F.col("text")) < 0.5).count() == sum(i % 4 == 0 for i in range(12_001))
+
+
 # --- packing
 
 
