@@ -29,7 +29,9 @@ no default; the registered query takes it from ``spark.rowgraph.pii.key`` and,
 where that is unset, uses a public demonstration key.
 
 Only what has a form is found: names need a title.  Patterns hold no group that
-recurses with the length of a text.
+recurses with the length of a text.  Most texts hold none of the characters that
+an entity needs (``@``, a digit, a title with a capital after it), which two quick
+searches tell; only the others are searched by the whole pattern.
 
 Defined results: a null text stays null, an empty one empty; documents without
 an entity are unchanged; repeated rows get the same text; other columns pass
@@ -64,9 +66,27 @@ _SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)"
 _CARD = r"(?<![\p{L}\p{N}.-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}]|[.-]\d)"
 _NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}[\p{{Ll}}\p{{M}}'’-]+(?: \p{{Lu}}[\p{{Ll}}\p{{M}}'’-]+){{0,2}}"
 
+_NUMBERS = "|".join(f"(?:{p})" for p in (_PHONE, _IP, _SSN, _CARD))
+_INITIALS = "".join(sorted({t[0] for t in _MALE + _FEMALE + _EITHER}))
+#: All but mail, sorted by what they begin with.
+_REST = rf"(?=[+(\d])(?:{_NUMBERS})|(?=[A-Z])(?:{_IBAN})|(?=[{_INITIALS}])(?:{_NAME})"
 #: What is looked for; the first alternative that matches at a place wins.  No alternative
 #: begins within a word, which the first test says once for all of them.
-ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in (_MAIL, _PHONE, _IP, _SSN, _CARD, _IBAN, _NAME)) + ")"
+ENTITY = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_MAIL})|{_REST})"
+#: The same for a text without ``@``: few characters begin anything else, so most places fail at one test.
+WITHOUT_MAIL = rf"(?=[+(\dA-Z{_INITIALS}])(?<![\p{{L}}\p{{N}}])(?:{_REST})"
+
+
+def _title(latin: bool, also: str = "") -> str:
+    """A title and a capital after it, of the Latin titles or the others; ``also`` are characters that count as well."""
+    some = [t for t in _MALE + _FEMALE + _EITHER if t[0].isascii() == latin]
+    tails = "|".join(sorted({t[1:] for t in some}, key=len, reverse=True))
+    return rf"[{also}{''.join(sorted({t[0] for t in some}))}](?:{f'(?<=[{also}])|' if also else ''}(?:{tails})\.? \p{{Lu}})"
+
+
+#: A text with no ``@`` and none of these has no entity, and one with no ``@`` and no title has no drawn surrogate.
+#: Each begins with one set of characters, those of ASCII apart, which is what the search is fast at.
+_DIGIT_OR_TITLE, _TITLE, _TITLE_BEYOND = _title(True, "0-9"), _title(True), _title(False)
 
 #: The country codes of E.164: of one digit, of two, the rest of three.
 _COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
@@ -201,6 +221,22 @@ def _surname(digest: Column, script: Column) -> Column:
     return F.when(script == "cyrillic", made("cyrillic")).otherwise(made("latin"))
 
 
+def _by_pattern(text: Column, made: Callable[[str], Column], none: Column) -> Column:
+    """``made`` with the least pattern that finds all entities of ``text``; ``none`` where there can be none."""
+    some = text.rlike(_DIGIT_OR_TITLE) | text.rlike(_TITLE_BEYOND)
+    return F.when(text.contains("@"), made(ENTITY)).when(some, made(WITHOUT_MAIL)).otherwise(none)
+
+
+def entities(text: Column) -> Column:
+    """All entities of a text, in order; none of a null text."""
+    return _by_pattern(text, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.array().cast("array<string>"))
+
+
+def gaps(text: Column) -> Column:
+    """What stands before, between and after the entities of a text."""
+    return _by_pattern(text, lambda p: F.split(text, p, -1), F.array(text))
+
+
 def kind_of(e: Column) -> Column:
     """The type of an entity, by its form."""
     return (
@@ -311,8 +347,10 @@ def surrogate(key: str, e: Column, attempts: Column | None = None) -> Column:
 
 def _redraw(docs: DataFrame, key: str, text_col: str, id_col: str) -> DataFrame | None:
     """``(id, attempts)`` for documents with an entity that had to be drawn again, or None."""
+    text = F.col(text_col)
     found = (
-        docs.select(F.col(id_col).alias("_pii_id"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(ENTITY), F.lit(0))).alias("e"))
+        docs.filter(text.contains("@") | text.rlike(_TITLE) | text.rlike(_TITLE_BEYOND))
+        .select(F.col(id_col).alias("_pii_id"), F.explode(entities(text)).alias("e"))
         .select("_pii_id", F.explode(drawn_words(F.col("e"))).alias("w"))
         .select("_pii_id", "w.kind", "w.canon", "w.gender")
         .distinct()
@@ -357,9 +395,9 @@ def replace_entities(
     if moved is not None:
         docs = docs.join(moved, F.col(id_col).eqNullSafe(F.col("_pii_id")), "left").drop("_pii_id")
     attempts = F.col("_pii_attempts") if moved is not None else None
-    found = docs.withColumn("_pii", F.regexp_extract_all(F.col(text_col), F.lit(ENTITY), F.lit(0)))
+    found = docs.withColumn("_pii", entities(F.col(text_col)))
     fresh = F.transform("_pii", lambda e: surrogate(key, e, attempts))
-    parts = F.zip_with(F.split(F.col(text_col), ENTITY, -1), fresh, lambda gap, s: F.concat(gap, F.coalesce(s, F.lit(""))))
+    parts = F.zip_with(gaps(F.col(text_col)), fresh, lambda gap, s: F.concat(gap, F.coalesce(s, F.lit(""))))
     replaced = F.when(F.size("_pii") > 0, F.concat_ws("", parts)).otherwise(F.col(text_col))
     out = [replaced.alias(c) if c == text_col else F.col(c) for c in columns]
     if count_col:

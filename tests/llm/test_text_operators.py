@@ -323,6 +323,30 @@ def test_ten_thousand_entities_stay_distinct_and_themselves(spark):
     assert all(len(v) == 1 for v in by.values()) and len(set.union(*by.values())) == len(by)
 
 
+def test_only_texts_that_may_hold_an_entity_are_searched_whole(spark, monkeypatch):
+    # a pattern that takes every word shows which texts it is used on
+    monkeypatch.setattr(pii, "ENTITY", r"[\p{L}\p{N}]+")
+    texts = ["Plain words of a Don, Hal and Mr who", "He came on 3 May", "Dr. Anna Weber", "г-н Иван Петров", ""]
+    out = [r["text"] for r in pii.replace_entities(docs(spark, *texts), KEY).orderBy("doc_id").collect()]
+    assert out[:2] == texts[:2] and out[4] == "" and out[2] != texts[2] and out[3] != texts[3]
+    monkeypatch.setattr(pii, "WITHOUT_MAIL", r"[\p{L}\p{N}]+")
+    found = [r[0] for r in docs(spark, *texts).orderBy("doc_id").select(pii.entities(F.col("text"))).collect()]
+    assert [len(x) for x in found] == [0, 5, 3, 4, 0]
+
+
+def test_entities_are_those_of_all_patterns_under_one_guard(spark):
+    rng = random.Random(5)
+    some = "@ + ( ) . - _ 1 12 123 1234 4111 555 255.1.2.3 +49 GB12 ABCD a.b@x.com c_d@y.org Mr Ms. Dr. Don Señora г-н Г-жа Anna Weber Иван Петров who é x 123-45-6789 (286) 555-5136 4111111111111111 ٣٤".split(" ")
+    texts = ["".join(rng.choice(some) + rng.choice(["", " ", " ", ".", "-", "\n"]) for _ in range(rng.randint(1, 12))) for _ in range(6000)] + ["", None]
+    plain = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in (pii._MAIL, pii._PHONE, pii._IP, pii._SSN, pii._CARD, pii._IBAN, pii._NAME)) + ")"
+    text = F.col("text")
+    rows = docs(spark, *texts).select("text", pii.entities(text).alias("e"), pii.gaps(text).alias("g"), F.regexp_extract_all(text, F.lit(plain), F.lit(0)).alias("want"), F.split(text, plain, -1).alias("between")).collect()
+    assert sum(len(r["want"] or []) for r in rows) > 3000
+    for r in rows:
+        assert (r["e"] or []) == (r["want"] or []), r["text"]
+        assert r["text"] is None or r["g"] == r["between"], r["text"]
+
+
 def test_very_long_texts_without_recursion(spark):
     texts = ["mail a@b" + ".c" * 500_000, "1" * 1_000_000, "1 " * 500_000, "Dr. A" + "a" * 500_000, "a" * 1_000_000 + "@b.cd", "GB12 " + "ABCD " * 200_000, "+1" + "-22" * 300_000]
     out = [r["text"] for r in pii.replace_entities(docs(spark, *texts, *texts), KEY).orderBy("doc_id").collect()]
