@@ -1,9 +1,9 @@
 """Which names are one entity: the match lanes and their components.
 
 Every lane works on distinct names.  Names that share a phonetic key form a
-star around their least member instead of a clique, which has the same
-components; only keys under which a vetoed pair meets are expanded, because
-there a direct pair has to be taken out.
+star around one of them instead of a clique, which has the same components;
+only keys of which every name is in a vetoed pair are expanded, because there a
+direct pair has to be taken out.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ from pyspark.sql.window import Window
 
 from rowgraph.functions import phonetic, text
 from rowgraph.operators.components import connected_components
-from rowgraph.runtime import ship_package
+from rowgraph.operators.ids import with_dense_ids
+from rowgraph.runtime import cut, ship_package
 
 FUZZY = 82  # per cent of shared shingles
+SHORT = 16  # shingles of a set that is paired by remainders
 BLOCK = 1024
 
 
@@ -60,24 +62,79 @@ def phonetic_pairs(names: DataFrame, gated: bool = True) -> DataFrame:
     )
 
 
-def fuzzy_pairs(names: DataFrame, gated: bool = True) -> DataFrame:
-    """Pairs ``(a, b, shared, either)`` of names whose shingle sets are similar enough.
+def _fits(small: int, large: int) -> tuple[int, int] | None:
+    """Shingles that sets of these sizes may lack of each other at the threshold; None if they cannot reach it."""
+    shared = -(-FUZZY * (small + large) // (100 + FUZZY))
+    return (small - shared, large - shared) if shared <= small else None
+
+
+def _remainders(sets: DataFrame) -> DataFrame:
+    """Rows ``(norm, kind, large, key)``: what is left of a set without as many shingles as a partner may lack.
 
-    Exact, by prefix filtering: with shingles ordered from rare to frequent, two
-    sets that reach the threshold share one among the first few of each.
+    ``kind`` holds both sizes; two sets up to ``SHORT`` reach the threshold
+    exactly if they have a remainder of one kind, one as the smaller of the two
+    and one as the larger (or both, at one size).
     """
-    kept = names.filter(text.passes_gate(F.col("norm"))) if gated else names
-    sets = kept.select("norm", text.shingles(F.col("norm")).alias("grams")).filter(F.size("grams") > 0)
-    grams = sets.select("norm", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    roles = []
+    for large in range(1, SHORT + 1):
+        for small in range(1, large + 1):
+            if fit := _fits(small, large):
+                kind = small * (SHORT + 1) + large
+                roles += [(small, kind, False, fit[0])] + ([(large, kind, True, fit[1])] if large > small else [])
+    table = F.explode(F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(r, ("n", "kind", "large", "less"))]) for r in roles]))
+    table = sets.sparkSession.range(1).select(table.alias("r")).select("r.*")
+
+    def without(all_of: Column, h: Column, depth: int) -> Column:
+        if depth == 0:
+            return F.array(all_of)
+        parts = F.transform(h, lambda x, i: without(all_of.bitwiseXOR(x), F.slice(h, i + 2, F.size(h)), depth - 1))
+        return F.flatten(parts)
+
+    hashed = sets.filter(F.size("grams") <= SHORT).select("norm", F.size("grams").alias("n"), F.transform("grams", lambda g: F.xxhash64(g)).alias("h"))
+    hashed = hashed.withColumn("all", F.aggregate("h", F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)))
+    placed = hashed.join(F.broadcast(table), "n")
+    left = None
+    for depth in sorted({r[3] for r in roles}):
+        one = placed.filter(F.col("less") == depth).select("norm", "kind", "large", F.explode(without(F.col("all"), F.col("h"), depth)).alias("key"))
+        left = one if left is None else left.unionAll(one)
+    return left
+
+
+def fuzzy_candidates(names: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)``, among them all whose shingle sets are similar enough.
+
+    Sets of up to ``SHORT`` shingles that are similar enough lack few of
+    each other, so they meet by what is left of each without those, and hardly
+    any others do.  Where one is larger, prefix filtering: with shingles
+    ordered from rare to frequent, two sets that reach the threshold share one
+    among the first few of each.
+    """
+    sets = cut(names.select("norm", text.shingles(F.col("norm")).alias("grams")).filter(F.size("grams") > 0))
+    left = _remainders(sets)
+    small = left.filter("not large").select("kind", "key", F.col("norm").alias("p"))
+    large = left.filter(F.col("large") | (F.col("kind") % (SHORT + 2) == 0)).select("kind", "key", F.col("norm").alias("q"), "large")
+    short = small.join(large, ["kind", "key"]).filter("large or p < q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+    partner = next(n for n in range(1, SHORT + 2) if _fits(n, SHORT + 1))
+    sized = sets.withColumn("n", F.size("grams")).filter(F.col("n") >= partner)
+    grams = sized.select("norm", "n", F.explode("grams").alias("gram"))
     counted = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rarest = Window.partitionBy("norm").orderBy("df", "gram")
     prefix = F.col("n") - F.ceil(F.col("n") * FUZZY / 100) + 1
     heads = grams.join(counted, "gram").withColumn("at", F.row_number().over(rarest)).filter(F.col("at") <= prefix).select("gram", "norm", "n")
-    left = heads.select("gram", F.col("norm").alias("a"), F.col("n").alias("na"))
-    right = heads.select("gram", F.col("norm").alias("b"), F.col("n").alias("nb"))
+    one = heads.select("gram", F.col("norm").alias("a"), F.col("n").alias("na"))
+    other = heads.filter(F.col("n") > SHORT).select("gram", F.col("norm").alias("b"), F.col("n").alias("nb"))
+    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * FUZZY) & (F.col("a") != F.col("b"))
+    long = one.join(other, "gram").filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    return short.unionAll(long)
+
+
+def fuzzy_pairs(names: DataFrame, gated: bool = True) -> DataFrame:
+    """Pairs ``(a, b, shared, either)`` of names whose shingle sets are similar enough."""
+    kept = names.filter(text.passes_gate(F.col("norm"))) if gated else names
     # a name is short, so its shingles are made again rather than carried
-    pairs = left.join(right, "gram").filter("a < b and least(na, nb) * 100 >= greatest(na, nb) * 82").select("a", "b").distinct()
-    sized = pairs.withColumn("x", text.shingles(F.col("a"))).withColumn("y", text.shingles(F.col("b")))
+    sized = fuzzy_candidates(kept).withColumn("x", text.shingles(F.col("a"))).withColumn("y", text.shingles(F.col("b")))
     shared = sized.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("s"))
     return shared.select("a", "b", "shared", (F.col("s") - F.col("shared")).alias("either")).filter(F.col("shared") * 100 >= F.col("either") * FUZZY)
 

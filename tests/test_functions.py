@@ -96,6 +96,31 @@ def test_fuzzy_lane_equals_brute_force(spark):
     assert want and pairs(resolve.fuzzy_pairs(names(spark, *words), gated=False)) == want
 
 
+def test_fuzzy_lane_around_the_size_that_is_paired_by_remainders(spark):
+    import random
+
+    rng = random.Random(5)
+    words = {"".join(rng.choices("abcdefgh", k=n)) for n in range(5, 30) for _ in range(4)}
+    words |= {w[:i] + "x" + w[i + more :] for w in list(words) for i, more in ((0, 0), (len(w), 0), (0, 1), (2, 1))}
+    words |= {w + tail for w in list(words) for tail in ("z", "zy", "zyx", "zyxw")}
+
+    def grams(w):
+        return {w[i : i + 3] for i in range(len(w) - 2)}
+
+    sets = {w: grams(w) for w in sorted(words)}
+    want = {(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) * 100 >= len(x | y) * 82}
+    sizes = {(len(sets[a]) > resolve.SHORT) + (len(sets[b]) > resolve.SHORT) for a, b in want}
+    assert sizes == {0, 1, 2} and pairs(resolve.fuzzy_pairs(names(spark, *words), gated=False)) == want
+
+
+def test_fuzzy_lane_compares_few_of_the_names_that_share_a_shingle(spark):
+    import itertools
+
+    words = ["xyz" + "".join(p) for p in itertools.permutations("abcdef")]
+    seen = resolve.fuzzy_candidates(names(spark, *words)).count()
+    assert seen < 10 * len(words)
+
+
 def test_embedding_lane(spark):
     rows = [("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0]), ("d", [1.0]), ("e", [0.0, 0.0])]
     got = resolve.embedding_pairs(spark.createDataFrame(rows, "norm string, vector array<double>"))
