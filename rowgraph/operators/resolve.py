@@ -199,11 +199,14 @@ def canonical_map(names: DataFrame, pairs: DataFrame, vetoed: DataFrame | None =
     Vetoed pairs are taken out as direct links only; pairs with a name that is
     not among ``names`` are ignored.
     """
-    known = names.select("norm").distinct()
+    known = with_dense_ids(names.select("norm").distinct(), "id", "norm")
     kept = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     if vetoed is not None:
         veto = vetoed.select(F.col("norm_a").alias("a"), F.col("norm_b").alias("b"))
         kept = kept.join(veto, ["a", "b"], "left_anti")
-    kept = kept.join(known.withColumnRenamed("norm", "a"), "a", "left_semi").join(known.withColumnRenamed("norm", "b"), "b", "left_semi")
-    found = connected_components(kept)
-    return known.join(found.withColumnRenamed("node", "norm"), "norm", "left").select("norm", F.coalesce("component", "norm").alias("canon"))
+    # numbers in the order of the names are compared in place of them
+    for end, number in (("a", "i"), ("b", "j")):
+        kept = kept.join(known.select(F.col("norm").alias(end), F.col("id").alias(number)), end)
+    found = connected_components(kept, "i", "j")
+    roots = known.select(F.col("id").alias("component"), F.col("norm").alias("root"))
+    return known.join(found.withColumnRenamed("node", "id").join(roots, "component"), "id", "left").select("norm", F.coalesce("root", "norm").alias("canon"))
