@@ -26,15 +26,20 @@ SHORT = 16  # shingles of a set that is paired by remainders
 BLOCK = 1024
 
 
-def phonetic_keyed(names: DataFrame, col: str = "norm") -> DataFrame:
-    """Rows ``(norm, key)``; words of a-z in the JVM, the rest through Arrow."""
+def _with_keys(names: DataFrame, col: str = "norm") -> DataFrame:
+    """Rows ``(norm, keys)``; words of a-z in the JVM, the rest through Arrow."""
     ship_package(names.sparkSession)
     kept = names.select(F.col(col).alias("norm")).filter("norm is not null and norm <> ''")
-    native = kept.filter(F.col("norm").rlike("^[a-z]+$")).select("norm", F.explode(phonetic.latin_keys(F.col("norm"))).alias("key"))
-    general = kept.filter(~F.col("norm").rlike("^[a-z]+$")).select("norm", F.explode(phonetic.phonetic_keys_udf("norm")).alias("key"))
+    native = kept.filter(F.col("norm").rlike("^[a-z]+$")).select("norm", phonetic.latin_keys(F.col("norm")).alias("keys"))
+    general = kept.filter(~F.col("norm").rlike("^[a-z]+$")).select("norm", phonetic.phonetic_keys_udf("norm").alias("keys"))
     return native.unionAll(general)
 
 
+def phonetic_keyed(names: DataFrame, col: str = "norm") -> DataFrame:
+    """Rows ``(norm, key)``."""
+    return _with_keys(names, col).select("norm", F.explode("keys").alias("key"))
+
+
 def phonetic_edges(names: DataFrame, vetoed: DataFrame | None = None, gated: bool = True) -> DataFrame:
     """Pairs ``(a, b)`` that connect the names sharing a key."""
     kept = names.filter(text.passes_gate(F.col("norm"))) if gated else names
@@ -53,13 +58,24 @@ def phonetic_edges(names: DataFrame, vetoed: DataFrame | None = None, gated: boo
 
 
 def phonetic_pairs(names: DataFrame, gated: bool = True) -> DataFrame:
-    """Every pair ``(a, b)``, ``a < b``, of names that share a key."""
+    """Every pair ``(a, b)``, ``a < b``, of names that share a key.
+
+    A pair comes from the first of the keys it shares only, so the pairs, which
+    grow with the square of a key's names, are neither shuffled nor held.
+    """
     kept = names.filter(text.passes_gate(F.col("norm"))) if gated else names
-    keyed = phonetic_keyed(kept).distinct()
-    return (
-        keyed.select("key", F.col("norm").alias("a")).join(keyed.select("key", F.col("norm").alias("b")), "key")
-        .filter("a < b").select("a", "b").distinct()
-    )
+    keyed = cut(_with_keys(kept.select("norm").distinct()).withColumn("key", F.explode(F.array_distinct("keys"))))
+    a, b = (keyed.select("key", F.col("norm").alias(x), F.col("keys").alias(f"k{x}")) for x in "ab")
+    single = (F.size("ka") == 1) | (F.size("kb") == 1)
+    first = F.when(single, True).otherwise(F.element_at(F.array_intersect("ka", "kb"), 1) == F.col("key"))
+    return a.join(b, "key").filter((F.col("a") < F.col("b")) & first).select("a", "b")
+
+
+def share_a_key(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of ``names`` that share a phonetic key, found from the pairs."""
+    keys = _with_keys(names.select("norm").distinct())
+    a, b = (keys.select(F.col("norm").alias(x), F.col("keys").alias(f"k{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").filter(F.arrays_overlap("ka", "kb")).select("a", "b")
 
 
 def _fits(small: int, large: int) -> tuple[int, int] | None:

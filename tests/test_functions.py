@@ -121,6 +121,17 @@ def test_fuzzy_lane_compares_few_of_the_names_that_share_a_shingle(spark):
     assert seen < 10 * len(words)
 
 
+def test_a_pair_that_shares_two_keys_comes_once(spark):
+    from rowgraph.functions import phonetic
+
+    a, b = "sarah", "serah"
+    assert len(set(phonetic.phonetic_keys(a)) & set(phonetic.phonetic_keys(b))) == 2
+    found = resolve.phonetic_pairs(names(spark, a, b, "sara"), gated=False)
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == [("sara", "sarah"), ("sara", "serah"), ("sarah", "serah")]
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert pairs(resolve.share_a_key(found.unionAll(names(spark, a).selectExpr("norm as a", "'tom' as b")), names(spark, a, b, "sara", "tom"))) == pairs(found)
+
+
 def test_embedding_lane(spark):
     rows = [("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0]), ("d", [1.0]), ("e", [0.0, 0.0])]
     got = resolve.embedding_pairs(spark.createDataFrame(rows, "norm string, vector array<double>"))
