@@ -41,20 +41,24 @@ def phonetic_keyed(names: DataFrame, col: str = "norm") -> DataFrame:
 
 
 def phonetic_edges(names: DataFrame, vetoed: DataFrame | None = None, gated: bool = True) -> DataFrame:
-    """Pairs ``(a, b)`` that connect the names sharing a key."""
+    """Pairs ``(a, b)`` that connect the names sharing a key.
+
+    Under a key where a vetoed pair meets, the hub of the star is a name of no
+    such pair; if there is none, all pairs are formed.
+    """
     kept = names.filter(text.passes_gate(F.col("norm"))) if gated else names
     keyed = phonetic_keyed(kept).distinct()
-    hubs = keyed.groupBy("key").agg(F.min("norm").alias("hub"))
-    star = keyed.join(hubs, "key").filter("norm <> hub").select("key", F.col("hub").alias("a"), F.col("norm").alias("b"))
     if vetoed is None:
-        return star.select("a", "b").distinct()
+        hubs = keyed.groupBy("key").agg(F.min("norm").alias("hub"))
+        return keyed.join(hubs, "key").filter("norm <> hub").select(F.col("hub").alias("a"), F.col("norm").alias("b")).distinct()
+    keyed = cut(keyed)
     left, right = keyed.withColumnRenamed("norm", "norm_a"), keyed.withColumnRenamed("norm", "norm_b")
-    met = vetoed.select("norm_a", "norm_b").join(left, "norm_a").join(right, ["norm_b", "key"]).select("key").distinct()
-    clique = left.join(met, "key", "left_semi").join(right, "key").filter("norm_a < norm_b")
-    return (
-        star.join(met, "key", "left_anti").select("a", "b")
-        .unionAll(clique.select(F.col("norm_a").alias("a"), F.col("norm_b").alias("b"))).distinct()
-    )
+    met = vetoed.select("norm_a", "norm_b").join(left, "norm_a").join(right, ["norm_b", "key"]).select("key", F.explode(F.array("norm_a", "norm_b")).alias("norm")).distinct()
+    flagged = keyed.join(met.withColumn("bound", F.lit(True)), ["key", "norm"], "left")
+    hubs = flagged.groupBy("key").agg(F.min(F.when(F.col("bound").isNull(), F.col("norm"))).alias("hub"))
+    star = keyed.join(hubs.filter("hub is not null"), "key").filter("norm <> hub").select(F.least("hub", "norm").alias("a"), F.greatest("hub", "norm").alias("b"))
+    clique = left.join(hubs.filter("hub is null"), "key", "left_semi").join(right, "key").filter("norm_a < norm_b")
+    return star.unionAll(clique.select(F.col("norm_a").alias("a"), F.col("norm_b").alias("b"))).distinct()
 
 
 def phonetic_pairs(names: DataFrame, gated: bool = True) -> DataFrame:

@@ -132,6 +132,15 @@ def test_a_pair_that_shares_two_keys_comes_once(spark):
     assert pairs(resolve.share_a_key(found.unionAll(names(spark, a).selectExpr("norm as a", "'tom' as b")), names(spark, a, b, "sara", "tom"))) == pairs(found)
 
 
+def test_a_veto_forms_no_clique_where_a_name_is_free(spark):
+    group = names(spark, *[f"k{x}r{y}m" for x in "aeiou" for y in "aeiou"])
+    veto = spark.createDataFrame([("karam", "karem")], "norm_a string, norm_b string")
+    found = pairs(resolve.phonetic_edges(group, veto, gated=False))
+    assert len(found) == 24 and ("karam", "karem") not in found
+    canon = resolve.canonical_map(group, spark.createDataFrame(sorted(found), "a string, b string"), veto)
+    assert {r["canon"] for r in canon.collect()} == {"karam"}
+
+
 def test_embedding_lane(spark):
     rows = [("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0]), ("d", [1.0]), ("e", [0.0, 0.0])]
     got = resolve.embedding_pairs(spark.createDataFrame(rows, "norm string, vector array<double>"))
