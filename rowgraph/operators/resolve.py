@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 from pyspark.sql.window import Window
 
 from rowgraph.functions import phonetic, text
@@ -23,7 +24,9 @@ from rowgraph.runtime import cut, ship_package
 
 FUZZY = 82  # per cent of shared shingles
 SHORT = 16  # shingles of a set that is paired by remainders
-BLOCK = 1024
+BLOCK = 1024  # vectors of a block at least, if there are so many
+BLOCK_VALUES = 1 << 20  # components of a block's vectors at most, unless they are wider than that allows
+TILE = 1024  # vectors of a block that are multiplied at once
 
 
 def _with_keys(names: DataFrame, col: str = "norm") -> DataFrame:
@@ -163,54 +166,77 @@ def embedding_pairs(vectors: DataFrame, threshold: float = 0.83, id_col: str = "
     """Pairs ``(a, b, cosine)``, ``a < b``, at or above the threshold.
 
     All pairs are compared, as the lane asks, block against block: a task holds
-    two blocks of vectors and multiplies them as matrices.
+    two blocks of vectors and multiplies them tile by tile.  A vector travels
+    once for each block, so blocks are as large as a task's memory allows, not
+    as many as the vectors would fill at some fixed size.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     kind = vectors.schema[id_col].dataType.simpleString()
-    good = vectors.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).filter(
+    single = isinstance(vectors.schema[vector_col].dataType.elementType, FloatType)
+    good = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v")).filter(
         F.col("id").isNotNull() & (F.size("v") > 0)
     )
-    blocks = max(1, math.ceil(good.count() / BLOCK))
+    many, widest = good.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    blocks = block_count(many, widest or 1, spark.sparkContext.defaultParallelism)
     own = good.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     placed = paired.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "v")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
-        vectors = table.column("v").to_pylist()
-        sizes = np.array([len(v) for v in vectors])
-        a, b, c = [], [], []
+        lists = table.column("v").combine_chunks()
+        sizes = lists.value_lengths().to_numpy()
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        within = key[0].as_py() == key[1].as_py()
+        sides = [np.arange(len(ids))] * 2 if within else [np.flatnonzero(own == k.as_py()) for k in key]
+        found: list[tuple] = []
+
+        def tiles(left: np.ndarray, right: np.ndarray):
+            for i in range(0, len(left), TILE):
+                for j in range(i if within else 0, len(right), TILE):
+                    yield left[i : i + TILE], right[j : j + TILE], within and i == j
+
         # vectors of different lengths have cosine 0
         if threshold <= 0:
-            i, j = np.nonzero(np.triu(sizes[:, None] != sizes[None, :], 1))
-            if key[0].as_py() != key[1].as_py():
-                i, j = i[own[i] != own[j]], j[own[i] != own[j]]
-            for p, q in zip(ids[i], ids[j]):
-                a.append(min(p, q))
-                b.append(max(p, q))
-                c.append(0.0)
+            for p, q, same in tiles(*sides):
+                differ = sizes[p][:, None] != sizes[q][None, :]
+                i, j = np.nonzero(np.triu(differ, 1) if same else differ)
+                found.append((p[i], q[j], np.zeros(len(i))))
         for d in np.unique(sizes):
             at = np.flatnonzero(sizes == d)
-            x = np.array([vectors[i] for i in at], dtype=np.float64)
+            x = values[starts[at][:, None] + np.arange(d)]
             norms = np.linalg.norm(x, axis=1)
-            unit = x / np.where(norms > 0, norms, 1)[:, None]
-            i, j = np.nonzero(np.triu(unit @ unit.T >= threshold - 1e-9, 1))
-            if key[0].as_py() != key[1].as_py():
-                cross = own[at[i]] != own[at[j]]
-                i, j = i[cross], j[cross]
-            dot = np.einsum("ij,ij->i", x[i], x[j])
-            scale = norms[i] * norms[j]
-            value = np.where(scale > 0, dot / np.where(scale > 0, scale, 1), 0.0)
-            keep = value >= threshold
-            for p, q, s in zip(ids[at[i]][keep], ids[at[j]][keep], value[keep]):
-                a.append(min(p, q))
-                b.append(max(p, q))
-                c.append(s)
+            unit = (x / np.where(norms > 0, norms, 1)[:, None]).astype(np.float32)
+            place = np.full(len(ids), -1)
+            place[at] = np.arange(len(at))
+            # what rounding to single precision may take from a product
+            slack = 1e-6 + 3e-7 * d
+            for p, q, same in tiles(*(s[sizes[s] == d] for s in sides)):
+                near = unit[place[p]] @ unit[place[q]].T >= threshold - slack
+                i, j = np.nonzero(np.triu(near, 1) if same else near)
+                for k in range(0, len(i), TILE * 16):
+                    e, f = p[i[k : k + TILE * 16]], q[j[k : k + TILE * 16]]
+                    dot = np.einsum("ij,ij->i", x[place[e]], x[place[f]])
+                    scale = norms[place[e]] * norms[place[f]]
+                    value = np.where(scale > 0, dot / np.where(scale > 0, scale, 1), 0.0)
+                    keep = value >= threshold
+                    found.append((e[keep], f[keep], value[keep]))
+        e, f, value = (np.concatenate(c) for c in zip((np.zeros(0, int), np.zeros(0, int), np.zeros(0)), *found))
+        ordered = ids[e] < ids[f]
         kinds = table.schema.field("id").type
-        return pa.table([pa.array(a, kinds), pa.array(b, kinds), pa.array(c, pa.float64())], names=["a", "b", "cosine"])
+        a, b = np.where(ordered, ids[e], ids[f]), np.where(ordered, ids[f], ids[e])
+        return pa.table([pa.array(a, kinds), pa.array(b, kinds), pa.array(value, pa.float64())], names=["a", "b", "cosine"])
+
+    spread = placed.repartition(min(blocks * (blocks + 1) // 2, 10_000), "lo", "hi")
+    return spread.groupBy("lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}, cosine double")
+
 
-    return placed.groupBy("lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}, cosine double")
+def block_count(many: int, widest: int, cores: int) -> int:
+    """Blocks of so many vectors: few, but enough to give each core some pairs of them."""
+    least = math.ceil(many / max(BLOCK, BLOCK_VALUES // widest))
+    return max(1, least, min(math.ceil(many / BLOCK), math.ceil(math.sqrt(4 * cores))))
 
 
 def canonical_map(names: DataFrame, pairs: DataFrame, vetoed: DataFrame | None = None) -> DataFrame:

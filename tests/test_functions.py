@@ -179,3 +179,23 @@ def test_embedding_lane_at_threshold_zero(spark):
     rows = [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [-1.0, 0.0]), ("d", [1.0])]
     got = resolve.embedding_pairs(spark.createDataFrame(rows, "norm string, vector array<double>"), 0.0)
     assert pairs(got) == {("a", "b"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")}
+
+
+def test_vectors_travel_to_few_blocks():
+    assert resolve.block_count(500, 64, 12) == 1 and resolve.block_count(50_000, 64, 12) == 7
+    # six times the vectors: each goes to as many blocks as memory asks, no more
+    assert resolve.block_count(600_000, 64, 12) == 37 and resolve.block_count(600_000, 1024, 12) == 586
+
+
+def test_embedding_lane_over_several_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(resolve, "BLOCK", 50)
+    x = np.random.default_rng(1).normal(size=(300, 8)).round(3)
+    x[7] = 0
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(1000, [1.0, 2.0])]
+    got = resolve.embedding_pairs(spark.createDataFrame(rows, "norm long, vector array<double>"), 0.7)
+    norms = np.linalg.norm(x, axis=1)
+    cosine = (x @ x.T) / np.where(norms > 0, norms, 1)[:, None] / np.where(norms > 0, norms, 1)[None, :]
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(cosine >= 0.7, 1)))}
+    assert want and pairs(got) == want and got.count() == len(want)
