@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 _ALNUM = r"\p{IsAlphabetic}\p{N}"
 #: Texts of these characters only are the same after NFKC.
@@ -35,6 +35,12 @@ def _nfkc(name: pd.Series) -> pd.Series:
     return name.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_all(names: pd.Series) -> pd.Series:
+    """The compatibility step for all names of an array."""
+    return names.map(lambda a: None if a is None else [None if s is None else unicodedata.normalize("NFKC", s) for s in a])
+
+
 def normalize_name(name: Column, nfkc: bool = True) -> Column:
     """The key under which spellings of one name meet; empty if nothing is left.
 

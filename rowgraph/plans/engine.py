@@ -154,7 +154,7 @@ class Engine:
             canon = cut(self.canon(w, names))
         overrides = self._overrides(w) if w.overrides else None
         triples = extension.relations(F.col("body"), self.relation_extractor) if self.relation_extractor is not None else None
-        made = graphs.build(stored, canon, overrides, triples, self.nfkc)
+        made = graphs.build(stored, canon, overrides, triples, self.nfkc, kept=True)
         self.graphs[w.watch_id] = made
         return made
 
@@ -265,7 +265,7 @@ class Engine:
     # --- reading
 
     def graph(self, w: Watch) -> graphs.Graph:
-        return self.graphs.get(w.watch_id) or graphs.build(self.store.read(w.watch_id), nfkc=self.nfkc)
+        return self.graphs.get(w.watch_id) or graphs.build(self.store.read(w.watch_id), nfkc=self.nfkc, kept=True)
 
     def session(self, user: str | None = None) -> "Session":
         """The accessors as ``user`` sees them; None is the owner, who sees all rows."""

@@ -199,3 +199,47 @@ def test_embedding_lane_over_several_blocks(spark, monkeypatch):
     cosine = (x @ x.T) / np.where(norms > 0, norms, 1)[:, None] / np.where(norms > 0, norms, 1)[None, :]
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(cosine >= 0.7, 1)))}
     assert want and pairs(got) == want and got.count() == len(want)
+
+
+def graph_of(spark, rows, **options):
+    from rowgraph.operators import graph as graphs
+
+    source = spark.createDataFrame(rows, "id string, body string")
+    return graphs.build(graphs.extraction(source, F.col("id"), F.col("body"), text.tokenize(F.col("body"))), **options)
+
+
+@pytest.mark.parametrize("ids", ["123", "cab"])
+@pytest.mark.parametrize("kept", [False, True])
+def test_edges_judged_at_once_equal_those_joined_with_their_support(spark, ids, kept):
+    rows = list(zip(ids, ["sara tehran", "sara berlin tehran", "tehran sara berlin"]))
+    g = graph_of(spark, rows, kept=kept)
+    seen = spark.createDataFrame([(ids[0],), (ids[1],)], "source_pk string")
+
+    def ends(df):
+        return sorted((r["edge_id"], r["src"], r["dst"]) for r in df.collect())
+
+    every = ends(g.edge)
+    assert [e[0] for e in every] == [1, 2, 3] and every == sorted(every, key=lambda e: e[1:])
+    surfaces = {r["entity_id"]: r["surface"] for r in g.entity.collect()}
+    first = sorted(rows)[0][1].split()
+    assert [surfaces[k] for k in (1, 2)] == first[:2]
+    named = {e: {surfaces[e[1]], surfaces[e[2]]} for e in every}
+    assert {frozenset(named[e]) for e in ends(g.edges_of(seen, "union"))} == {frozenset(p) for p in (("sara", "tehran"), ("sara", "berlin"), ("berlin", "tehran"))}
+    assert {frozenset(named[e]) for e in ends(g.edges_of(seen, "intersection"))} == {frozenset(("berlin", "tehran"))}
+    assert {frozenset((surfaces[r["src"]], surfaces[r["dst"]])) for r in g.pairs_of(seen.limit(1)).collect()} <= {frozenset(v) for v in named.values()}
+    assert g.edge_support.count() == 5
+
+
+def test_entities_are_made_without_mentions_and_edges(spark):
+    g = graph_of(spark, [("1", "sara tehran"), ("2", "sara")])
+    assert g.entity.count() == 2 and not {"mention", "edge", "_support"} & set(g.__dict__)
+
+
+def test_group_ids(spark):
+    from rowgraph.operators.ids import with_group_ids
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 101).alias("x"), F.lit("k").alias("y"), "id").repartition(5)
+    rows = with_group_ids(df, "n", "x", "y").collect()
+    assert all(r["n"] == r["x"] + 1 for r in rows) and len(rows) == 1000 and sum(r["first"] for r in rows) == 101
+    least = with_group_ids(df, "n", "x", "y", within=F.asc("id"), firsts=True).collect()
+    assert len(least) == 101 and all(r["id"] < 101 for r in least)
