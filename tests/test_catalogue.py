@@ -60,3 +60,26 @@ def test_the_entry_works_without_the_pipeline_package(monkeypatch):
     alone = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(alone)
     assert set(alone.queries()) == set(QUERIES) and set(alone.oracle_sql()) == set(ORACLES)
+
+
+def refuse(*args, **kwargs):
+    raise AssertionError("not needed for this")
+
+
+def test_most_connected_numbers_no_edge(spark, monkeypatch):
+    from rowgraph.operators import graph
+
+    monkeypatch.setattr(graph, "with_group_ids", refuse)
+    assert QUERIES["most_connected"](spark, str(DATA)).limit(1).count() == 1
+
+
+def test_changes_meet_the_feed_once(spark):
+    plan = QUERIES["apply_changes"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
+def test_the_store_is_written_without_a_checkpoint_before(spark, monkeypatch):
+    from rowgraph.plans import engine
+
+    monkeypatch.setattr(engine, "cut", refuse)
+    assert QUERIES["engine_process_changes"](spark, str(DATA)).limit(1).count() == 1
